@@ -175,6 +175,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("text").alias("code"),
         F.col("source").alias("project"), "lang", F.col("n_chars").alias("size"),
         cwe.alias("cwe"),
+        F.when(F.col("toxic") == 1, F.concat(F.lit("CVE-"), F.col("lang"), F.lit("-"), F.col("source")))
+        .otherwise(F.lit("")).alias("cve_id"),
         F.concat(F.lit("https://github.com/"), F.col("source"), F.lit("/"), F.col("lang"),
                  F.lit("/commit/"), F.md5(F.col("doc_id").cast("string"))).alias("commit_url"))
 
@@ -236,6 +238,7 @@ SELECT d.doc_id AS id, d.text AS code, d.source AS project, d.lang AS lang, d.n_
   CASE WHEN l.quality IS NULL AND l.toxic IS NULL THEN NULL
        ELSE list_filter([CASE WHEN l.quality = 1 THEN 'quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END],
                         lambda x: x IS NOT NULL) END AS cwe,
+  CASE WHEN l.toxic = 1 THEN concat('CVE-', d.lang, '-', d.source) ELSE '' END AS cve_id,
   concat('https://github.com/', d.source, '/', d.lang, '/commit/', md5(CAST(d.doc_id AS VARCHAR))) AS commit_url
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
