@@ -19,6 +19,9 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Joins / aggregates keyed by (graph_id, ...) reuse a partitioning on
+    # graph_id alone instead of reshuffling on the full key.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
