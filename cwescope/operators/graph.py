@@ -193,7 +193,8 @@ def tree_nodes(texts: DataFrame, key: str = "graph_id", text: str = "code") -> D
         .when(is_tok, node(base, lvl + 1, ltype, lnamed, no, closer & ~unmatched, unmatched, F.col("piece"))),
         F.when(opener, node(base + 1, lvl + 2, ltype, lnamed, no, no, no, F.col("piece"))),
     )
-    n = tok.select("graph_id", "_tend", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("n")) \
+    # explode + row filter stay in generated code (a lambda filter would not).
+    n = tok.select("graph_id", "_tend", F.explode(rows).alias("n")).where(F.col("n").isNotNull()) \
         .select("graph_id", "_tend", "n.*")
     roles = F.array(
         F.when(F.col("is_group"), F.struct(F.col("depth").alias("k"), F.lit(0).alias("role"))),

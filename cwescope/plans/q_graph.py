@@ -11,6 +11,7 @@ from cwescope.operators import propagate as P
 from cwescope.operators import reach as R
 from cwescope.operators.corpus import hash32
 from cwescope.plans.registry import register
+from cwescope.session import materialize
 from cwescope.sources import views as V
 
 VOCAB_DIM = 64
@@ -23,8 +24,14 @@ def _texts(spark, d):
 
 
 def _nodes(spark, d):
-    t = _texts(spark, d)
-    return G.with_group_text(G.tree_nodes(t), t)
+    """Node table, computed once per query (texts and nodes are each used
+    more than once downstream)."""
+    t = materialize(_texts(spark, d))
+    return materialize(G.with_group_text(G.tree_nodes(t), t))
+
+
+def _edges(n):
+    return materialize(G.edge_union(n))
 
 
 # --- oracle: the tree rebuilt in SQL (parent by max-id join, not windows) ----
@@ -275,8 +282,8 @@ def q_graph_validity(spark, d):
     return G.graph_validity(n, G.edge_union(n), lab)
 
 
-def _train_nodes(spark, d):
-    n = _nodes(spark, d)
+def _train_nodes(spark, d, n=None):
+    n = n if n is not None else _nodes(spark, d)
     return n.where(hash32(F.col("graph_id")) < F.lit(TRAIN_LIMIT))
 
 
@@ -312,7 +319,7 @@ SELECT n.graph_id, CAST(n.node_id AS BIGINT) AS node_id, n.node_type, v.type_id
 FROM tn n LEFT JOIN ({VOCAB_SQL}) v ON v.node_type = n.node_type""", "tn"))
 def q_vocab_join(spark, d):
     n = _nodes(spark, d)
-    v = G.node_vocab(_train_nodes(spark, d), VOCAB_DIM)
+    v = G.node_vocab(_train_nodes(spark, d, n), VOCAB_DIM)
     return G.vocab_join(n, v).select("graph_id", "node_id", "node_type", "type_id")
 
 
@@ -336,7 +343,7 @@ FROM (
   CROSS JOIN (SELECT count(*) AS nv FROM ({VOCAB_SQL}) q) vs) z""", "tn"))
 def q_node_features(spark, d):
     n = _nodes(spark, d)
-    v = G.node_vocab(_train_nodes(spark, d), VOCAB_DIM)
+    v = G.node_vocab(_train_nodes(spark, d, n), VOCAB_DIM)
     return G.node_features(n, v, VOCAB_DIM)
 
 
@@ -413,7 +420,7 @@ def _psql(body: str, *names: str) -> str:
 
 def _px(spark, d):
     n = _nodes(spark, d)
-    return n, G.edge_union(n), P.node_scalar_features(n)
+    return n, _edges(n), P.node_scalar_features(n)
 
 
 @register("gcn_propagate", _psql("""

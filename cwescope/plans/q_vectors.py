@@ -85,7 +85,7 @@ def q_evaluate_trained(spark, d):
 @register("graph_assemble")
 def q_graph_assemble(spark, d):
     n = QG._nodes(spark, d)
-    v = G.node_vocab(QG._train_nodes(spark, d), QG.VOCAB_DIM)
+    v = G.node_vocab(QG._train_nodes(spark, d, n), QG.VOCAB_DIM)
     x = G.node_features(n, v, QG.VOCAB_DIM)
     xs = x.groupBy("graph_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "x"))),
                                                lambda s: s["x"]).alias("x"))
@@ -113,7 +113,7 @@ def q_graph_score(spark, d):
     """GCN step -> mean pooling -> dense head (fixed weights) -> sigmoid."""
     n = QG._nodes(spark, d)
     x = P.node_scalar_features(n)
-    h = P.gcn_propagate(n, G.edge_union(n), x)
+    h = P.gcn_propagate(n, QG._edges(n), x)
     pooled = P.graph_pool(h).groupBy("graph_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("v"))
     rows = []

@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes; safe to apply to an existing session.
 SQL_DEFAULTS = {
@@ -63,3 +64,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="cwescope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage for several later uses.
+
+    Reliable checkpoint into the shared checkpoint folder (survives executor
+    loss; keeps the output partitioning, so graph-keyed joins downstream need
+    no shuffle). The data is persisted first so the checkpoint write does not
+    recompute the plan, and released once the checkpoint exists."""
+    checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = p.checkpoint(eager=True)
+    p.unpersist()
+    return out
