@@ -1,60 +1,20 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare.
 
 Usage: python scripts/oracle_check.py [--sf DIR] [key ...]
-Comparison: same column names, same row count, same multiset of rows
-(doubles compared to 1e-6 relative, lists element-wise).
 """
 
 from __future__ import annotations
 
 import argparse
-import math
 import os
 import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from cwescope.plans.catalog import REGISTRY  # noqa: E402
+from cwescope.plans.check import compare, duck  # noqa: E402
 from cwescope.session import local_session  # noqa: E402
-from cwescope.sources.tables import TABLES  # noqa: E402
-
-
-def norm(v):
-    if v is None:
-        return None
-    if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
-        v = v.tolist()
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6) + 0.0
-    if isinstance(v, bool):
-        return int(v)
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    if hasattr(v, "asDict"):
-        return norm(v.asDict())
-    return v
-
-
-def rows_of(cols, records):
-    out = [tuple(norm(r[c]) for c in cols) for r in records]
-    return sorted(out, key=lambda t: repr(t))
-
-
-def close(a, b):
-    if isinstance(a, float) or isinstance(b, float):
-        if a is None or b is None:
-            return a is b
-        return abs(float(a) - float(b)) <= 1e-6 * max(1.0, abs(float(a)), abs(float(b)))
-    if isinstance(a, tuple) and isinstance(b, tuple):
-        return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
-    return a == b
 
 
 def main() -> int:
@@ -63,52 +23,27 @@ def main() -> int:
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
     spark = local_session(8, 8)
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
+    con = duck(a.sf)
     keys = a.keys or sorted(REGISTRY)
     bad = 0
     for k in keys:
         q = REGISTRY[k]
         t0 = time.time()
         try:
-            sdf = q.spark_df(spark, a.sf)
-            srows = [r.asDict(recursive=True) for r in sdf.collect()]
-            scols = sorted(sdf.columns)
+            df = q.spark_df(spark, a.sf)
+            sql = q.oracle()
+            if sql is None:
+                n = df.count()
+                print(f"ROWS {k}: {n} rows, {time.time() - t0:.1f}s (no oracle)", flush=True)
+                continue
+            err = compare(df, con, sql)
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {k}: spark error {type(e).__name__}: {str(e)[:400]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        sql = q.oracle()
-        if sql is None:
-            print(f"ROWS {k}: {len(srows)} rows, spark {ts:.1f}s (no oracle)")
-            continue
-        t1 = time.time()
-        try:
-            cur = con.execute(sql)
-            dcols = [c[0] for c in cur.description]
-            drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
-        except Exception as e:  # noqa: BLE001
-            print(f"FAIL {k}: duckdb error {str(e)[:400]}")
-            bad += 1
-            continue
-        td = time.time() - t1
-        if sorted(dcols) != scols:
-            print(f"FAIL {k}: columns spark={scols} duck={sorted(dcols)}")
-            bad += 1
-            continue
-        sr, dr = rows_of(scols, srows), rows_of(scols, drows)
-        if len(sr) != len(dr):
-            print(f"FAIL {k}: rows spark={len(sr)} duck={len(dr)}")
-            bad += 1
-            continue
-        diff = [(x, y) for x, y in zip(sr, dr) if not close(x, y)]
-        if diff:
-            print(f"FAIL {k}: {len(diff)} differing rows, e.g. spark={diff[0][0]} duck={diff[0][1]}")
+            err = f"error {type(e).__name__}: {str(e)[:300]}"
+        if err:
             bad += 1
-            continue
-        print(f"OK   {k}: {len(sr)} rows, spark {ts:.1f}s, duck {td:.1f}s")
+            print(f"FAIL {k}: {err}", flush=True)
+        else:
+            print(f"OK   {k}: {time.time() - t0:.1f}s", flush=True)
     spark.stop()
     print(f"{len(keys) - bad}/{len(keys)} ok")
     return 1 if bad else 0
