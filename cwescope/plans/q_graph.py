@@ -545,13 +545,16 @@ def q_reach_uaf(spark, d):
 TAINT_COND = " OR ".join(f"contains(n.code, '{s}')" for s in R.TAINT_SOURCES)
 
 
-@register("taint_source", V.with_views(f"""
+TAINT_BODY = f"""
 SELECT v.graph_id, v.var, CASE WHEN t.t = 1 THEN 1.0 ELSE 0.0 END AS taint
 FROM (SELECT DISTINCT fn AS graph_id, v AS var FROM code_lines) v
 LEFT JOIN (SELECT n.graph_id, w.var, max(CASE WHEN {TAINT_COND} THEN 1 ELSE 0 END) AS t
            FROM cfg_nodes n JOIN (SELECT DISTINCT fn AS graph_id, v AS var FROM code_lines) w ON w.graph_id = n.graph_id
            WHERE contains(n.code, w.var || ' =') GROUP BY n.graph_id, w.var) t
-  ON t.graph_id = v.graph_id AND t.var = v.var""", "code_lines", "cfg_nodes"))
+  ON t.graph_id = v.graph_id AND t.var = v.var"""
+
+
+@register("taint_source", V.with_views(TAINT_BODY, "code_lines", "cfg_nodes"))
 def q_taint_source(spark, d):
     n, _, v = _cfg(spark, d)
     return R.taint_source(n, v)

@@ -14,7 +14,9 @@ from cwescope.operators import reach as R
 from cwescope.operators import vectors as VE
 from cwescope.operators.corpus import hash32
 from cwescope.plans import q_graph as QG
-from cwescope.plans.registry import register
+from cwescope.plans.q_code import APICTX_SQL, CYC_SQL
+from cwescope.plans.q_eval import CMP_DOUBLES, _cmp_sql
+from cwescope.plans.registry import REGISTRY, register
 from cwescope.sources import views as V
 from cwescope.sources.tables import table
 
@@ -108,7 +110,24 @@ def _head_b(c: int) -> float:
     return ((c * 5) % 7 - 3) / 10.0
 
 
-@register("graph_score")
+def _graph_score_sql() -> str:
+    gcn = REGISTRY["gcn_propagate"].sql
+    head, body = gcn.rsplit("\nSELECT e.graph_id, e.dst AS node_id", 1)
+    h = "SELECT e.graph_id, e.dst AS node_id" + body
+    vals = ", ".join(f"({c}, CAST({_head_b(c)} AS DOUBLE), " + ", ".join(
+        f"CAST({_head_w(c, j)} AS DOUBLE)" for j in range(4)) + ")" for c in range(9))
+    return head + f""",
+hh AS ({h}),
+pm AS (SELECT graph_id, dim, avg(x) AS m FROM hh GROUP BY graph_id, dim),
+pv AS (SELECT graph_id, max(CASE WHEN dim = 0 THEN m END) AS v0, max(CASE WHEN dim = 1 THEN m END) AS v1,
+          max(CASE WHEN dim = 2 THEN m END) AS v2, max(CASE WHEN dim = 3 THEN m END) AS v3 FROM pm GROUP BY graph_id),
+sc AS (SELECT pv.graph_id AS sample_id, CAST(c.cls AS BIGINT) AS cls,
+          1.0 / (1.0 + exp(-(c.b + c.w0 * v0 + c.w1 * v1 + c.w2 * v2 + c.w3 * v3))) AS p
+       FROM pv CROSS JOIN (VALUES {vals}) c(cls, b, w0, w1, w2, w3))
+SELECT sample_id, cls, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS yhat FROM sc"""
+
+
+@register("graph_score", _graph_score_sql(), rnd=("p",))
 def q_graph_score(spark, d):
     """GCN step -> mean pooling -> dense head (fixed weights) -> sigmoid."""
     n = QG._nodes(spark, d)
@@ -126,7 +145,25 @@ def q_graph_score(spark, d):
     return s.select("sample_id", "t.cls", "t.p", (F.col("t.p") >= 0.5).cast("int").alias("yhat"))
 
 
-@register("nlp_features")
+def _nlp_sql() -> str:
+    base = QG._uaf_sql()
+    marker = "\nSELECT v.graph_id, v.var, h.dmin IS NOT NULL"
+    head, final = base.split(marker, 1)
+    final = marker.lstrip("\n") + final
+    return head + f""",
+uaf AS ({final}),
+fn_code AS ({V.VIEW_SQL["fn_code"].strip()}),
+cm AS (SELECT fn, CAST({CYC_SQL} AS INTEGER) AS cyclomatic, CAST(len(string_split(code, chr(10))) AS INTEGER) AS loc
+       FROM fn_code),
+ar AS (SELECT f.fn, coalesce(r.api_risk, 0.0) AS api_risk FROM (SELECT DISTINCT fn FROM code_lines) f
+       LEFT JOIN (SELECT fn, avg(CAST(risk AS DOUBLE)) AS api_risk FROM ({APICTX_SQL}) x GROUP BY fn) r ON r.fn = f.fn),
+tt AS ({QG.TAINT_BODY.strip()})
+SELECT u.graph_id AS fn, u.var, ar.api_risk, cm.cyclomatic, cm.loc, u.detected, u.score, tt.taint
+FROM uaf u JOIN tt ON tt.graph_id = u.graph_id AND tt.var = u.var
+JOIN cm ON cm.fn = u.graph_id JOIN ar ON ar.fn = u.graph_id"""
+
+
+@register("nlp_features", _nlp_sql(), rnd=("api_risk", "score"))
 def q_nlp_features(spark, d):
     cl = V.code_lines(spark, d)
     fc = V.join_lines(cl)
@@ -139,7 +176,12 @@ def q_nlp_features(spark, d):
             .select("fn", "var", "api_risk", "cyclomatic", "loc", "detected", "score", "taint"))
 
 
-@register("compare_tools_long")
+@register("compare_tools_long", _cmp_sql(
+    "SELECT tool, metric, score FROM w UNPIVOT (score FOR metric IN (" + ", ".join(CMP_DOUBLES) + "))",
+    "w AS (SELECT sl.tool, "
+    + REGISTRY["compare_tools"].sql.rsplit("SELECT sl.tool, ", 1)[1].replace(
+        "FROM sl JOIN cl USING (tool) CROSS JOIN n", "FROM sl JOIN cl USING (tool) CROSS JOIN n)")
+    .replace("CAST(n.n_samples AS BIGINT) AS n_samples,", "", 1)), rnd=("score",))
 def q_compare_tools_long(spark, d):
     """Full comparison table in (tool, metric, score) form."""
     labels = V.tool_labels(spark, d)
