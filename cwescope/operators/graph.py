@@ -105,6 +105,14 @@ def _text_end(text: Column) -> list[Column]:
             F.coalesce(after_nl, F.lit(0)).cast("bigint").alias("end_col")]
 
 
+def _text_end(text: Column) -> list[Column]:
+    """Byte length and end (row, col) of a whole text, from the text itself."""
+    after_nl = F.octet_length(F.substring_index(text, "\n", -1))
+    return [F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("end_byte"),
+            F.coalesce(F.size(F.split(text, "\n", -1)) - 1, F.lit(0)).cast("bigint").alias("end_row"),
+            F.coalesce(after_nl, F.lit(0)).cast("bigint").alias("end_col")]
+
+
 def tree_nodes(texts: DataFrame, key: str = "graph_id", text: str = "code") -> DataFrame:
     """Node table of the bracket-nesting tree of each text (see module doc).
 
@@ -399,11 +407,18 @@ def edge_type_vocab(edges: DataFrame, strict: bool = False) -> DataFrame:
 def node_features(nodes: DataFrame, vocab: DataFrame, dim: int = 64) -> DataFrame:
     """Dense node vector of size ``dim``: one-hot type, then at offset
     |vocab|+1 (0 if offset+20 > dim): child count, depth, sibling, leaf,
-    named, text length (scaled) and the six danger flags of the text."""
-    vsize = vocab.agg(F.count(F.lit(1)).alias("_v"))
-    j = vocab_join(nodes, vocab).withColumn("_k", F.lit(1)) \
-        .join(F.broadcast(vsize.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    off = F.when(F.col("_v") + 1 + 20 > dim, F.lit(0)).otherwise(F.col("_v") + 1)
+    named, text length (scaled) and the six danger flags of the text.
+
+    The vocabulary has at most dim/2 rows (by construction of
+    ``node_vocab``), so it is read once and inlined as a literal map: the
+    vector is then ``dim`` plain column expressions (whole-stage codegen, no
+    join, no per-element lambda)."""
+    voc = [(r["node_type"], int(r["type_id"])) for r in vocab.select("node_type", "type_id").collect()]
+    if len(voc) > dim:
+        raise ValueError("vocabulary larger than the vector")
+    off = 0 if len(voc) + 1 + 20 > dim else len(voc) + 1
+    tid = (F.element_at(F.create_map(*[F.lit(x) for kv in voc for x in kv]), F.col("node_type"))
+           if voc else F.lit(None).cast("int"))
     low = F.lower(F.coalesce("text", F.lit("")))
     slots = [CF.scaled_count(F.col("child_count").cast("double"), 10.0),
              CF.scaled_count(F.col("depth").cast("double"), 50.0),
@@ -411,11 +426,10 @@ def node_features(nodes: DataFrame, vocab: DataFrame, dim: int = 64) -> DataFram
              F.col("is_leaf").cast("double"), F.col("is_named").cast("double"),
              CF.scaled_count(F.length(F.coalesce("text", F.lit(""))).cast("double"), 20.0)]
     slots += [low.rlike(p).cast("double") for _, p in CF.DANGER_PATTERNS]
-    sl = F.array(*slots)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
-        (i - off >= 0) & (i - off < len(slots)), F.element_at(sl, (i - off + 1).cast("int"))
-    ).otherwise(F.when(i == F.col("type_id"), F.lit(1.0)).otherwise(F.lit(0.0))))
-    return j.select("graph_id", "node_id", vec.alias("x"))
+    t = nodes.select("graph_id", "node_id", tid.alias("_t"), *[c.alias(f"_s{k}") for k, c in enumerate(slots)])
+    vec = [F.col(f"_s{i - off}") if off <= i < off + len(slots)
+           else F.when(F.col("_t") == i, F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(dim)]
+    return t.select("graph_id", "node_id", F.array(*vec).alias("x"))
 
 
 def node_features_full(nodes: DataFrame, vocab_full: DataFrame) -> DataFrame:
@@ -427,8 +441,9 @@ def node_features_full(nodes: DataFrame, vocab_full: DataFrame) -> DataFrame:
     raw = F.array(*[F.col(c).cast("double") for c in
                     ("child_count", "start_row", "start_col", "end_row", "end_col", "text_length")],
                   F.col("is_named").cast("double"))
-    onehot = F.transform(F.sequence(F.lit(0), F.col("_v") - 1),
-                         lambda i: F.when(i == F.col("type_id"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    tid = F.col("type_id").cast("int")
+    onehot = F.concat(F.array_repeat(F.lit(0.0), tid), F.array(F.lit(1.0)),
+                      F.array_repeat(F.lit(0.0), (F.col("_v") - tid - 1).cast("int")))
     return j.select("graph_id", "node_id", F.concat(onehot, raw).alias("x"))
 
 

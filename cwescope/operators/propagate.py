@@ -1,25 +1,35 @@
-"""Message passing and pooling over long feature tables.
-
-Features are long rows ``x(graph_id, node_id, dim, x)``; edges are
-``(graph_id, src, dst)``. One propagation step is a join of edges with the
-source features and a grouped sum per (graph_id, dst, dim): everything is
-keyed by graph_id first, so with the graph-partitioned inputs no step
-reshuffles the whole graph. Node degrees are edge-count aggregates.
+"""Message passing and pooling over node feature tables.
+
+Features are wide rows ``x(graph_id, node_id, f_0 .. f_{D-1})`` (one row per
+node, one double column per dimension); edges are ``(graph_id, src, dst)``.
+One propagation step is a join of the edges with the source features and a
+grouped sum per (graph_id, dst): a message row carries all D dimensions, so
+the joins move E rows, not E x D. Everything is keyed by graph_id first, so
+with graph-partitioned inputs no step reshuffles the graph. ``long_form``
+gives the (graph_id, node_id, dim, x) layout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SCALAR_FEATURES = ["f0", "f1", "f2", "f3"]
+
 
 def node_scalar_features(nodes: DataFrame) -> DataFrame:
-    """Four scalar features per node as long rows (dim 0..3)."""
-    vals = F.array(F.least(F.col("child_count") / 10.0, F.lit(1.0)),
-                   F.least(F.col("depth") / 50.0, F.lit(1.0)),
-                   F.col("is_leaf").cast("double"), F.col("is_named").cast("double"))
-    return nodes.select("graph_id", "node_id", F.posexplode(vals).alias("dim", "x")) \
-        .withColumn("dim", F.col("dim").cast("int"))
+    """Four scalar features per node: scaled child count, scaled depth,
+    leaf, named."""
+    return nodes.select("graph_id", "node_id",
+                        F.least(F.col("child_count") / 10.0, F.lit(1.0)).alias("f0"),
+                        F.least(F.col("depth") / 50.0, F.lit(1.0)).alias("f1"),
+                        F.col("is_leaf").cast("double").alias("f2"),
+                        F.col("is_named").cast("double").alias("f3"))
+
+
+def long_form(x: DataFrame, cols: list[str] = SCALAR_FEATURES) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("x")) for i, c in enumerate(cols)])
+    return x.select("graph_id", "node_id", F.explode(rows).alias("t")).select("graph_id", "node_id", "t.dim", "t.x")
 
 
 def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,38 +37,41 @@ def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "src", "dst").unionByName(loops).dropDuplicates(["graph_id", "src", "dst"])
 
 
-def _in_degree(e: DataFrame) -> DataFrame:
-    return e.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("deg"))
+def _src(x: DataFrame, cols: list[str], extra: list[Column] | None = None) -> DataFrame:
+    return x.select("graph_id", F.col("node_id").alias("src"), *cols, *(extra or []))
 
 
-def gcn_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame) -> DataFrame:
+def gcn_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
+                  cols: list[str] = SCALAR_FEATURES) -> DataFrame:
     """x'_v = sum over u -> v (self loop included) of x_u / sqrt(d_u * d_v),
     d = in-degree with the self loop."""
     e = with_self_loops(nodes, edges)
-    deg = _in_degree(e)
+    deg = e.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("deg"))
     e = (e.join(deg.select("graph_id", F.col("dst").alias("src"), F.col("deg").alias("du")), ["graph_id", "src"])
          .join(deg.select("graph_id", "dst", F.col("deg").alias("dv")), ["graph_id", "dst"]))
-    m = e.join(x.withColumnRenamed("node_id", "src"), ["graph_id", "src"])
-    return m.groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(
-        F.sum(F.col("x") / F.sqrt(F.col("du") * F.col("dv"))).alias("x"))
+    m = e.join(_src(x, cols), ["graph_id", "src"])
+    norm = F.sqrt(F.col("du") * F.col("dv"))
+    return m.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        *[F.sum(F.col(c) / norm).alias(c) for c in cols])
 
 
-def mean_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame) -> DataFrame:
+def mean_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
+                   cols: list[str] = SCALAR_FEATURES) -> DataFrame:
     """Row-normalized: mean of the in-neighbours' features, self included."""
-    e = with_self_loops(nodes, edges)
-    m = e.join(x.withColumnRenamed("node_id", "src"), ["graph_id", "src"])
-    return m.groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(F.avg("x").alias("x"))
+    m = with_self_loops(nodes, edges).join(_src(x, cols), ["graph_id", "src"])
+    return m.groupBy("graph_id", F.col("dst").alias("node_id")).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def sum_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
+def sum_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[str] = SCALAR_FEATURES,
                   w_self: float = 1.0, w_neigh: float = 0.5) -> DataFrame:
     """GraphConv with scalar weights: w_self * x_v + w_neigh * sum of in-neighbours."""
     e = edges.select("graph_id", "src", "dst").dropDuplicates(["graph_id", "src", "dst"])
-    agg = e.join(x.withColumnRenamed("node_id", "src"), ["graph_id", "src"]) \
-        .groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(F.sum("x").alias("s"))
-    j = x.join(agg, ["graph_id", "node_id", "dim"], "left")
-    return j.select("graph_id", "node_id", "dim",
-                    (F.lit(w_self) * F.col("x") + F.lit(w_neigh) * F.coalesce("s", F.lit(0.0))).alias("x"))
+    agg = e.join(_src(x, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")) \
+        .agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
+    j = x.join(agg, ["graph_id", "node_id"], "left")
+    return j.select("graph_id", "node_id", *[
+        (F.lit(w_self) * F.col(c) + F.lit(w_neigh) * F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias(c)
+        for i, c in enumerate(cols)])
 
 
 # Fixed attention vectors of the single-head layer used for the checks.
@@ -67,33 +80,40 @@ GAT_A_DST = [-0.3, 0.6, 0.2, 0.4]
 GAT_SLOPE = 0.2
 
 
-def gat_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
+def _dot(cols: list[str], w: list[float]) -> Column:
+    out = None
+    for c, v in zip(cols, w):
+        t = F.col(c) * F.lit(float(v))
+        out = t if out is None else out + t
+    return out
+
+
+def gat_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[str] = SCALAR_FEATURES,
                   a_src: list[float] = GAT_A_SRC, a_dst: list[float] = GAT_A_DST,
                   slope: float = GAT_SLOPE) -> DataFrame:
     """One attention head (W = identity): score(u->v) = LeakyReLU(a_dst.x_v +
     a_src.x_u), softmax over the in-edges of v (self loop included), output
     = attention-weighted sum of x_u. Max-shifted softmax per (graph, dst)."""
-    wsrc = F.array(*[F.lit(float(v)) for v in a_src])
-    wdst = F.array(*[F.lit(float(v)) for v in a_dst])
-    proj = x.groupBy("graph_id", "node_id").agg(
-        F.sum(F.col("x") * F.element_at(wsrc, F.col("dim") + 1)).alias("ps"),
-        F.sum(F.col("x") * F.element_at(wdst, F.col("dim") + 1)).alias("pd"))
     e = with_self_loops(nodes, edges)
-    e = (e.join(proj.select("graph_id", F.col("node_id").alias("src"), "ps"), ["graph_id", "src"])
-         .join(proj.select("graph_id", F.col("node_id").alias("dst"), "pd"), ["graph_id", "dst"]))
+    e = (e.join(_src(x, cols, [_dot(cols, a_src).alias("ps")]), ["graph_id", "src"])
+         .join(x.select("graph_id", F.col("node_id").alias("dst"), _dot(cols, a_dst).alias("pd")),
+               ["graph_id", "dst"]))
     raw = F.col("ps") + F.col("pd")
     e = e.withColumn("s", F.when(raw >= 0, raw).otherwise(raw * slope))
-    mx = e.groupBy("graph_id", "dst").agg(F.max("s").alias("smax"))
-    e = e.join(mx, ["graph_id", "dst"]).withColumn("ex", F.exp(F.col("s") - F.col("smax")))
-    z = e.groupBy("graph_id", "dst").agg(F.sum("ex").alias("z"))
-    e = e.join(z, ["graph_id", "dst"]).withColumn("alpha", F.col("ex") / F.col("z"))
-    m = e.join(x.withColumnRenamed("node_id", "src"), ["graph_id", "src"])
-    return m.groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(
-        F.sum(F.col("alpha") * F.col("x")).alias("x"))
+    e = e.withColumn("ex", F.exp(F.col("s") - F.max("s").over(Window.partitionBy("graph_id", "dst"))))
+    g = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        F.sum("ex").alias("_z"), *[F.sum(F.col("ex") * F.col(c)).alias(f"_n{i}") for i, c in enumerate(cols)])
+    return g.select("graph_id", "node_id", *[(F.col(f"_n{i}") / F.col("_z")).alias(c) for i, c in enumerate(cols)])
 
 
 def graph_pool(x: DataFrame) -> DataFrame:
-    """Mean, max and sum of node features per (graph, dim); mean||max is the
-    combined pooling."""
+    """Mean, max and sum of node features per (graph, dim) from the long
+    layout; mean||max is the combined pooling."""
     return x.groupBy("graph_id", "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max"),
                                             F.sum("x").alias("sum"))
+
+
+def graph_pool_wide(x: DataFrame, cols: list[str] = SCALAR_FEATURES) -> DataFrame:
+    """Per graph: mean / max / sum of every feature column (one row per graph)."""
+    return x.groupBy("graph_id").agg(*[f(c).alias(f"{n}_{c}") for c in cols
+                                       for n, f in (("mean", F.avg), ("max", F.max), ("sum", F.sum))])

@@ -431,7 +431,7 @@ JOIN px x ON x.graph_id = e.graph_id AND x.node_id = e.src
 GROUP BY e.graph_id, e.dst, x.dim""", "px", "pdeg"), rnd=("x",))
 def q_gcn_propagate(spark, d):
     n, e, x = _px(spark, d)
-    return P.gcn_propagate(n, e, x)
+    return P.long_form(P.gcn_propagate(n, e, x))
 
 
 @register("mean_propagate", _psql("""
@@ -440,7 +440,7 @@ FROM pe e JOIN px x ON x.graph_id = e.graph_id AND x.node_id = e.src GROUP BY e.
                                   "px", "pe"), rnd=("x",))
 def q_mean_propagate(spark, d):
     n, e, x = _px(spark, d)
-    return P.mean_propagate(n, e, x)
+    return P.long_form(P.mean_propagate(n, e, x))
 
 
 @register("sum_propagate", _psql("""
@@ -451,7 +451,7 @@ FROM px x LEFT JOIN (
   ON s.graph_id = x.graph_id AND s.dst = x.node_id AND s.dim = x.dim""", "px", "ge"), rnd=("x",))
 def q_sum_propagate(spark, d):
     n, e, x = _px(spark, d)
-    return P.sum_propagate(n, e, x)
+    return P.long_form(P.sum_propagate(n, e, x))
 
 
 def _vec_sql(v: list[float]) -> str:
@@ -482,7 +482,7 @@ JOIN px x ON x.graph_id = s.graph_id AND x.node_id = s.src
 GROUP BY s.graph_id, s.dst, x.dim""", "px", "pe"), rnd=("x",))
 def q_gat_propagate(spark, d):
     n, e, x = _px(spark, d)
-    return P.gat_propagate(n, e, x)
+    return P.long_form(P.gat_propagate(n, e, x))
 
 
 @register("graph_pool", _psql("""
@@ -490,7 +490,11 @@ SELECT graph_id, dim, avg(x) AS mean, max(x) AS max, sum(x) AS sum FROM px GROUP
     rnd=("mean", "max", "sum"))
 def q_graph_pool(spark, d):
     _, _, x = _px(spark, d)
-    return P.graph_pool(x)
+    w = P.graph_pool_wide(x)
+    rows = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"mean_{c}").alias("mean"),
+                              F.col(f"max_{c}").alias("max"), F.col(f"sum_{c}").alias("sum"))
+                     for i, c in enumerate(P.SCALAR_FEATURES)])
+    return w.select("graph_id", F.explode(rows).alias("t")).select("graph_id", "t.*")
 
 
 # --- statement graphs ----------------------------------------------------------

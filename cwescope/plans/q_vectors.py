@@ -133,13 +133,12 @@ def q_graph_score(spark, d):
     n = QG._nodes(spark, d)
     x = P.node_scalar_features(n)
     h = P.gcn_propagate(n, QG._edges(n), x)
-    pooled = P.graph_pool(h).groupBy("graph_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("v"))
+    pooled = h.groupBy("graph_id").agg(*[F.avg(c).alias(f"v{j}") for j, c in enumerate(P.SCALAR_FEATURES)])
     rows = []
     for c in range(9):
         z = F.lit(_head_b(c))
         for j in range(4):
-            z = z + F.lit(_head_w(c, j)) * F.col("v")[j]
+            z = z + F.lit(_head_w(c, j)) * F.col(f"v{j}")
         rows.append(F.struct(F.lit(c).cast("bigint").alias("cls"), M.sigmoid(z).alias("p")))
     s = pooled.select(F.col("graph_id").alias("sample_id"), F.explode(F.array(*rows)).alias("t"))
     return s.select("sample_id", "t.cls", "t.p", (F.col("t.p") >= 0.5).cast("int").alias("yhat"))

@@ -52,10 +52,12 @@ def test_thresholds_on_grid(spark, sf):
 
 
 def test_pooling_order_invariant(spark, sf):
-    x = spark.createDataFrame([(1, i, 0, float(i)) for i in range(10)], "graph_id long, node_id long, dim int, x double")
-    a = P.graph_pool(x).first()
-    b = P.graph_pool(x.orderBy(F.desc("node_id")).repartition(3)).first()
+    x = spark.createDataFrame([(1, i, float(i), float(i % 3), 1.0, 0.0) for i in range(10)],
+                              "graph_id long, node_id long, f0 double, f1 double, f2 double, f3 double")
+    a = P.graph_pool_wide(x).first()
+    b = P.graph_pool_wide(x.orderBy(F.desc("node_id")).repartition(3)).first()
     assert a == b
+    assert P.graph_pool(P.long_form(x)).count() == 4
 
 
 def test_partition_count_invariance(spark, sf):
