@@ -23,9 +23,12 @@ def _texts(spark, d):
     return f.select(F.col("fn").alias("graph_id"), CF.strip_comments(F.col("code")).alias("code"))
 
 
-def _nodes(spark, d):
-    """Node table, computed once per query (texts and nodes are each used
-    more than once downstream)."""
+def _nodes(spark, d, text: bool = False):
+    """Node table, computed once per query (it is used more than once
+    downstream). ``text`` fills the text of group nodes (a join with the
+    source texts), needed only by consumers of node text."""
+    if not text:
+        return materialize(G.tree_nodes(_texts(spark, d)))
     t = materialize(_texts(spark, d))
     return materialize(G.with_group_text(G.tree_nodes(t), t))
 
@@ -153,7 +156,7 @@ NODE_SQL_COLS = ("graph_id, CAST(node_id AS BIGINT) AS node_id, CAST(parent AS B
 
 @register("tree_nodes", _sql(f"SELECT {NODE_SQL_COLS} FROM tn"))
 def q_tree_nodes(spark, d):
-    return _nodes(spark, d).select(*[c.strip() for c in NODE_COLS.split(",")])
+    return _nodes(spark, d, text=True).select(*[c.strip() for c in NODE_COLS.split(",")])
 
 
 @register("tree_structure", _sql("""
@@ -342,7 +345,7 @@ FROM (
   FROM tn n LEFT JOIN ({VOCAB_SQL}) v ON v.node_type = n.node_type
   CROSS JOIN (SELECT count(*) AS nv FROM ({VOCAB_SQL}) q) vs) z""", "tn"))
 def q_node_features(spark, d):
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, text=True)
     v = G.node_vocab(_train_nodes(spark, d, n), VOCAB_DIM)
     return G.node_features(n, v, VOCAB_DIM)
 
@@ -358,7 +361,7 @@ FROM (SELECT n.*, coalesce(v.type_id, u.type_id) AS tid, c.nv
       CROSS JOIN (SELECT type_id FROM ({VOCAB_FULL_SQL}) q WHERE node_type = '<UNK>') u
       CROSS JOIN (SELECT count(*) AS nv FROM ({VOCAB_FULL_SQL}) q) c) z""", "tn"))
 def q_node_features_full(spark, d):
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, text=True)
     return G.node_features_full(n, G.node_vocab_full(n))
 
 
@@ -392,7 +395,7 @@ SELECT graph_id, CAST(node_id AS BIGINT) AS node_id, least(child_count / 10.0, 1
   least(ln(1 + (end_byte - start_byte)) / 10.0, 1.0) AS span_scaled FROM tn"""),
     rnd=("child_scaled", "depth_scaled", "length_scaled", "span_scaled"))
 def q_scaled(spark, d):
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, text=True)
     return n.select("graph_id", "node_id",
                     CF.scaled_count(F.col("child_count").cast("double"), 10.0).alias("child_scaled"),
                     CF.scaled_count(F.col("depth").cast("double"), 50.0).alias("depth_scaled"),

@@ -86,7 +86,7 @@ def q_evaluate_trained(spark, d):
 
 @register("graph_assemble")
 def q_graph_assemble(spark, d):
-    n = QG._nodes(spark, d)
+    n = QG._nodes(spark, d, text=True)
     v = G.node_vocab(QG._train_nodes(spark, d, n), QG.VOCAB_DIM)
     x = G.node_features(n, v, QG.VOCAB_DIM)
     xs = x.groupBy("graph_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "x"))),
