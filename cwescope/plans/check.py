@@ -56,15 +56,32 @@ def close(a, b):
 
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return SPARK_TO_DUCK.get(spark_type, spark_type)
+
+
 def compare(spark_df, con, sql: str) -> str | None:
-    """None when equal, else a short description of the first difference."""
+    """None when equal (names, scalar / list column types, rows), else a
+    short description of the first difference."""
     srows = [r.asDict(recursive=True) for r in spark_df.collect()]
     scols = sorted(spark_df.columns)
-    cur = con.execute(sql)
-    dcols = [c[0] for c in cur.description]
-    drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
+    rel = con.sql(sql)
+    dcols = list(rel.columns)
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
     if sorted(dcols) != scols:
         return f"columns spark={scols} duck={sorted(dcols)}"
+    for c, t in spark_df.dtypes:
+        if "struct" in t or "STRUCT" in dtypes[c]:
+            continue
+        if duck_type(t) != dtypes[c]:
+            return f"type of {c}: spark={t} duck={dtypes[c]}"
     sr, dr = rows_of(scols, srows), rows_of(scols, drows)
     if len(sr) != len(dr):
         return f"rows spark={len(sr)} duck={len(dr)}"

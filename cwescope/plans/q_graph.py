@@ -230,8 +230,9 @@ def q_edge_index(spark, d):
 
 
 @register("edge_endpoints", _esql("""
-SELECT e.graph_id, e.src, e.dst, e.edge_type, s.start_byte AS src_start_byte, s.end_byte AS src_end_byte,
-  t.start_byte AS dst_start_byte, t.end_byte AS dst_end_byte
+SELECT e.graph_id, e.src, e.dst, e.edge_type, CAST(s.start_byte AS BIGINT) AS src_start_byte,
+  CAST(s.end_byte AS BIGINT) AS src_end_byte, CAST(t.start_byte AS BIGINT) AS dst_start_byte,
+  CAST(t.end_byte AS BIGINT) AS dst_end_byte
 FROM ge e JOIN tn s ON s.graph_id = e.graph_id AND s.node_id = e.src
 JOIN tn t ON t.graph_id = e.graph_id AND t.node_id = e.dst""", "ge"))
 def q_edge_endpoints(spark, d):
@@ -427,7 +428,7 @@ def _px(spark, d):
 
 
 @register("gcn_propagate", _psql("""
-SELECT e.graph_id, e.dst AS node_id, x.dim, sum(x.x / sqrt(du.deg * dv.deg)) AS x
+SELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id, x.dim, sum(x.x / sqrt(du.deg * dv.deg)) AS x
 FROM pe e JOIN pdeg du ON du.graph_id = e.graph_id AND du.dst = e.src
 JOIN pdeg dv ON dv.graph_id = e.graph_id AND dv.dst = e.dst
 JOIN px x ON x.graph_id = e.graph_id AND x.node_id = e.src
@@ -438,7 +439,7 @@ def q_gcn_propagate(spark, d):
 
 
 @register("mean_propagate", _psql("""
-SELECT e.graph_id, e.dst AS node_id, x.dim, avg(x.x) AS x
+SELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id, x.dim, avg(x.x) AS x
 FROM pe e JOIN px x ON x.graph_id = e.graph_id AND x.node_id = e.src GROUP BY e.graph_id, e.dst, x.dim""",
                                   "px", "pe"), rnd=("x",))
 def q_mean_propagate(spark, d):
@@ -462,7 +463,7 @@ def _vec_sql(v: list[float]) -> str:
 
 
 @register("gat_propagate", _psql(f"""
-SELECT s.graph_id, s.dst AS node_id, x.dim, sum(s.ex / z.z * x.x) AS x FROM (
+SELECT s.graph_id, CAST(s.dst AS BIGINT) AS node_id, x.dim, sum(s.ex / z.z * x.x) AS x FROM (
   SELECT e.graph_id, e.src, e.dst, exp(sc - max(sc) OVER (PARTITION BY e.graph_id, e.dst)) AS ex FROM (
     SELECT e.graph_id, e.src, e.dst,
       CASE WHEN ps.ps + pd.pd >= 0 THEN ps.ps + pd.pd ELSE (ps.ps + pd.pd) * CAST({P.GAT_SLOPE} AS DOUBLE) END AS sc
@@ -553,7 +554,7 @@ TAINT_COND = " OR ".join(f"contains(n.code, '{s}')" for s in R.TAINT_SOURCES)
 
 
 TAINT_BODY = f"""
-SELECT v.graph_id, v.var, CASE WHEN t.t = 1 THEN 1.0 ELSE 0.0 END AS taint
+SELECT v.graph_id, v.var, CAST(CASE WHEN t.t = 1 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS taint
 FROM (SELECT DISTINCT fn AS graph_id, v AS var FROM code_lines) v
 LEFT JOIN (SELECT n.graph_id, w.var, max(CASE WHEN {TAINT_COND} THEN 1 ELSE 0 END) AS t
            FROM cfg_nodes n JOIN (SELECT DISTINCT fn AS graph_id, v AS var FROM code_lines) w ON w.graph_id = n.graph_id

@@ -112,8 +112,8 @@ def _head_b(c: int) -> float:
 
 def _graph_score_sql() -> str:
     gcn = REGISTRY["gcn_propagate"].sql
-    head, body = gcn.rsplit("\nSELECT e.graph_id, e.dst AS node_id", 1)
-    h = "SELECT e.graph_id, e.dst AS node_id" + body
+    head, body = gcn.rsplit("\nSELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id", 1)
+    h = "SELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id" + body
     vals = ", ".join(f"({c}, CAST({_head_b(c)} AS DOUBLE), " + ", ".join(
         f"CAST({_head_w(c, j)} AS DOUBLE)" for j in range(4)) + ")" for c in range(9))
     return head + f""",

@@ -26,7 +26,7 @@ def code_lines(spark: SparkSession, d: str) -> DataFrame:
     # carries over to ``fn`` and per-function aggregates need no new shuffle.
     t = li.select(
         "l_orderkey",
-        F.row_number().over(w).alias("line_no"),
+        F.row_number().over(w).cast("bigint").alias("line_no"),
         (F.col("l_partkey") % 10).alias("k"),
         F.concat(F.lit("v"), (F.col("l_suppkey") % 2).cast("string")).alias("v"),
     ).withColumnRenamed("l_orderkey", "fn")
