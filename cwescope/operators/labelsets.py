@@ -5,10 +5,12 @@ a tool reports for a sample, truth included) and the sample universe
 ``samples(sample_id)``. Samples without any label still count (safe and
 predicted safe), so the universe size enters every ratio.
 
-Plan shape: labels are semi-joined with the universe (shuffle on
-``sample_id``); every later aggregate groups by keys that contain
-``sample_id`` and so reuses that partitioning; the per-tool and per-class
-results are bounded by #tools x #classes.
+Plan shape: labels are semi-joined with the universe (broadcast or
+shuffle, chosen by Catalyst from the size); the (sample, cwe) presence
+aggregate subsumes a distinct of the input (max is duplicate-insensitive,
+so Catalyst drops a distinct below it); per-sample and per-class results
+aggregate map-side first, and the per-tool / per-class outputs are bounded
+by #tools x #classes.
 """
 
 from __future__ import annotations
