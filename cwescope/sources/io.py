@@ -88,7 +88,7 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """JSON array, single object or JSON Lines (unparsable lines dropped) ->
     lookup (hash, cwes, project default 'unknown'); for a duplicate hash the
     last record wins. One task per file (file order decides 'last')."""
-    whole = spark.read.text(path, wholetext=True).select(
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_f"), F.trim("value").alias("v"))
     first = F.substring("v", 1, 1)
     opts = {"columnNameOfCorruptRecord": "_corrupt_record"}
