@@ -27,8 +27,11 @@ SQL_DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the defaults above where the caller's session sets nothing."""
+    chosen = spark.conf.getAll
     for k, v in SQL_DEFAULTS.items():
-        spark.conf.set(k, v)
+        if k not in chosen:
+            spark.conf.set(k, v)
     return spark
 
 
@@ -54,8 +57,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Only a local master may
+    leave it unset; it then gets a fresh scratch folder. On a cluster each
+    executor would write to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cwescope-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
