@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import mixing, pii, topk
+from cwescope.llm import mixing, pii, substrings, topk
 from cwescope.llm.common import read
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op6_topk": op6_topk,
     "op9_pii": op9_pii,
