@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import mixing, pii, substrings, topk
+from cwescope.llm import decontam, mixing, pii, substrings, topk
 from cwescope.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontam_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -29,11 +33,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
+    "op4_decontam": op4_decontam,
     "op6_topk": op6_topk,
     "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op4_decontam": decontam.ORACLE,
     "op6_topk": topk.ORACLE,
 }
