@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import decontam, mixing, pii, substrings, topk
+from cwescope.llm import decontam, licenses, mixing, pii, substrings, topk
 from cwescope.llm.common import read
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read(spark, sf_dir, "documents"))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(read(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op4_decontam": op4_decontam,
