@@ -37,12 +37,14 @@ from cwescope.llm.common import store
 LENGTH = 10
 SLOP = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of a text whose A-Z are not lowered yet.
+#: Words of a text whose A-Z are not lowered yet, and what lies between them.
 WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_CHARS), F.lit(0))
+    """Splitting takes half the time of extracting; ends may be empty."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), "")
 
 
 def lowered(word: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import decontam, licenses, mixing, pii, substrings, topk
+from cwescope.llm import decontam, licenses, lines, mixing, pii, substrings, topk
 from cwescope.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontam_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op4_decontam": op4_decontam,
+    "op5_lines": op5_lines,
     "op6_topk": op6_topk,
     "op9_pii": op9_pii,
 }
