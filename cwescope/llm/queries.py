@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import decontam, licenses, lines, mixing, pii, substrings, topk
+from cwescope.llm import decontam, licenses, lines, mixing, nearcopies, pii, substrings, topk
 from cwescope.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
 
+def op10_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_substrings": op2_substrings,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lines": op5_lines,
     "op6_topk": op6_topk,
     "op9_pii": op9_pii,
+    "op10_nearcopies": op10_nearcopies,
 }
 
 ORACLES: dict[str, str] = {
