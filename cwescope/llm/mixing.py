@@ -46,9 +46,13 @@ SCHEDULES = (
 )
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words)."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """row (hash), doc_id, source, size (words)."""
+    return docs.select(row_key().alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
@@ -107,7 +111,7 @@ def take(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     for epoch in range(MAX_EPOCHS):
         left = words - epoch * F.col("source_size") - F.col("before")
         taken = taken + F.least(F.col("size"), F.greatest(left, F.lit(0))).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "place", "target", "before",
+    return rows.select("row", "doc_id", "source", "size", "source_size", "place", "target", "before",
                        taken.alias("taken"))
 
 
@@ -153,6 +157,19 @@ def mix(docs: DataFrame) -> DataFrame:
     return schedule(take(sizes, source_targets(sizes)))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """One row for each use of a document, in training order: the columns of
+    ``docs`` with epoch, words and position. Equal rows share their uses."""
+    clash = [c for c in ("epoch", "words", "position", "_row", "_uses") if c in docs.columns]
+    if clash:
+        raise ValueError(f"reserved column names in the input: {clash}")
+    used = store(mix(docs).where(F.size("uses") > 0).groupBy(F.col("row").alias("_row"))
+                 .agg(F.flatten(F.collect_list("uses")).alias("_uses")), "mix-uses")
+    rows = docs.withColumn("_row", row_key()).join(used, "_row").dropDuplicates(["_row"])
+    out = rows.select(*docs.columns, F.explode("_uses").alias("_use"))
+    return out.select(*docs.columns, "_use.epoch", "_use.words", "_use.position").orderBy("position", "doc_id")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """The mix, one row per document, sorted by first training position."""
     rows = mix(docs).select(
