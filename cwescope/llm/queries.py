@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import decontam, licenses, lines, mixing, nearcopies, pii, quality, substrings, topk
+from cwescope.llm import decontam, licenses, lines, mixing, nearcopies, ngram_lm, pii, quality, substrings, topk
 from cwescope.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontam": op4_decontam,
     "op5_lines": op5_lines,
     "op6_topk": op6_topk,
+    "op7_ngram_lm": op7_ngram_lm,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_nearcopies": op10_nearcopies,
