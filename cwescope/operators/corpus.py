@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cwescope.session import materialize
 from cwescope.functions.labels import multi_hot
 
 
@@ -171,18 +172,32 @@ def split_stratified(df: DataFrame, id_col: str, combo: str,
 
 def global_index(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order without a
-    single-partition window: range-partition, count rows per partition
-    (#partitions rows, broadcast), offset + row number inside the partition."""
+    single-partition window.
+
+    Only the keys are range-partitioned, and their partition numbers are
+    stored before they are used twice: for the counts per partition
+    (#partitions rows, broadcast) and for the row number inside. The position
+    is then joined back on the keys, so it does not depend on what other
+    columns the table has. Rows with equal keys take consecutive positions."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    keys = [f"_key{i}" for i in range(len(order_cols))]
+    among = Window.partitionBy(*keys).orderBy(*keys)
+    r = materialize(df.select(*[F.col(c).alias(k) for c, k in zip(order_cols, keys)])
+                    .repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     cnt = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     off = cnt.select("_pid", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (r.join(F.broadcast(off), "_pid")
-            .withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_pid", "_off"))
+    w = Window.partitionBy("_pid").orderBy(*keys)
+    pos = (r.join(F.broadcast(off), "_pid")
+           .withColumn("_idx", F.col("_off") + F.row_number().over(w) - 1)
+           .withColumn("_tie", F.row_number().over(among)).drop("_pid", "_off"))
+    own = Window.partitionBy(*order_cols).orderBy(*order_cols)
+    rows = df.withColumn("_own", F.row_number().over(own))
+    same = F.col("_own") == F.col("_tie")
+    for c, k in zip(order_cols, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(pos, same).drop("_own", "_tie", *keys)
 
 
 def split_sequential(df: DataFrame, order_cols: list[str], train: float = 0.7,

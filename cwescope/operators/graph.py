@@ -90,9 +90,10 @@ def _leaf_type(piece: Column) -> tuple[Column, Column]:
     typ = (F.when(ident & F.array_contains(kw, piece), piece)
            .when(ident, F.lit("identifier"))
            .when(piece.rlike(r"^[0-9]"), F.lit("number_literal"))
-           .when(piece.rlike(r"^\".+\"$") | (piece == '""'), F.lit("string_literal"))
-           .when(piece.rlike(r"^'.+'$") | (piece == "''"), F.lit("char_literal"))
-           .otherwise(piece))
+           .when(piece.rlike(r"(?s)^\".+\"$") | (piece == '""'), F.lit("string_literal"))
+           .when(piece.rlike(r"(?s)^'.+'$") | (piece == "''"), F.lit("char_literal"))
+           # any other piece is one character: a type of its own if it is ASCII
+           .when(piece.rlike("^[!-~]$"), piece).otherwise(F.lit("other")))
     named = typ.isin("identifier", "number_literal", "string_literal", "char_literal")
     return typ, named
 
@@ -105,14 +106,6 @@ def _text_end(text: Column) -> list[Column]:
             F.coalesce(after_nl, F.lit(0)).cast("bigint").alias("end_col")]
 
 
-def _text_end(text: Column) -> list[Column]:
-    """Byte length and end (row, col) of a whole text, from the text itself."""
-    after_nl = F.octet_length(F.substring_index(text, "\n", -1))
-    return [F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("end_byte"),
-            F.coalesce(F.size(F.split(text, "\n", -1)) - 1, F.lit(0)).cast("bigint").alias("end_row"),
-            F.coalesce(after_nl, F.lit(0)).cast("bigint").alias("end_col")]
-
-
 def tree_nodes(texts: DataFrame, key: str = "graph_id", text: str = "code") -> DataFrame:
     """Node table of the bracket-nesting tree of each text (see module doc).
 
@@ -274,9 +267,10 @@ def next_token_edges(nodes: DataFrame) -> DataFrame:
 
 
 def edge_union(nodes: DataFrame) -> DataFrame:
-    """AST + reverse + next-token edges, one edge per (graph, src, dst)."""
-    e = ast_edges(nodes).unionByName(next_token_edges(nodes))
-    return e.dropDuplicates(["graph_id", "src", "dst"])
+    """AST + reverse + next-token edges, one edge per (graph, src, dst): tree
+    edges have an inner node at one end and next-token edges leaves at both, so
+    none collide."""
+    return ast_edges(nodes).unionByName(next_token_edges(nodes))
 
 
 def hybrid_edges(nodes: DataFrame) -> DataFrame:

@@ -35,8 +35,10 @@ def restrict(labels: DataFrame, samples: DataFrame) -> DataFrame:
 
 def presence(labels: DataFrame, tools=TOOLS, truth: str = TRUTH) -> DataFrame:
     """(sample_id, cwe, tool, t, p): one row per tool for every (sample, cwe)
-    that truth or any tool reports; t / p are 0/1 membership flags."""
-    g = labels.groupBy("sample_id", "cwe").agg(
+    that truth or any of ``tools`` reports; t / p are 0/1 membership flags.
+    Findings of other tools neither score nor widen the class universe
+    (``unknown_tools`` lists them)."""
+    g = labels.where(F.col("tool").isin(truth, *tools)).groupBy("sample_id", "cwe").agg(
         F.max((F.col("tool") == truth).cast("int")).alias("t"),
         *[F.max((F.col("tool") == x).cast("int")).alias(f"p_{i}") for i, x in enumerate(tools)])
     per_tool = F.array(*[F.struct(F.lit(x).alias("tool"), F.col(f"p_{i}").alias("p"))
@@ -45,6 +47,12 @@ def presence(labels: DataFrame, tools=TOOLS, truth: str = TRUTH) -> DataFrame:
         .select("sample_id", "cwe", "x.tool", "t", "x.p")
 
 
+def unknown_tools(labels: DataFrame, tools=TOOLS, truth: str = TRUTH) -> DataFrame:
+    """(tool, findings) of tools that no comparison takes in."""
+    return (labels.where(~F.col("tool").isin(truth, *tools)).groupBy("tool")
+            .agg(F.count(F.lit(1)).alias("findings")))
+
+
 def per_sample(pres: DataFrame) -> DataFrame:
     """(tool, sample_id, inter, uni, nt, np) over present samples."""
     t, p = F.col("t"), F.col("p")

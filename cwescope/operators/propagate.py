@@ -4,9 +4,10 @@ Features are wide rows ``x(graph_id, node_id, f_0 .. f_{D-1})`` (one row per
 node, one double column per dimension); edges are ``(graph_id, src, dst)``.
 One propagation step is a join of the edges with the source features and a
 grouped sum per (graph_id, dst): a message row carries all D dimensions, so
-the joins move E rows, not E x D. Everything is keyed by graph_id first, so
-with graph-partitioned inputs no step reshuffles the graph. ``long_form``
-gives the (graph_id, node_id, dim, x) layout.
+the joins move E rows, not E x D. Edges must be distinct, as generated ones
+are (``distinct_edges`` for others); edges from a node to itself are dropped
+and self loops are added on the node side, without a union or a distinct of
+the edges. ``long_form`` gives the (graph_id, node_id, dim, x) layout.
 """
 
 from __future__ import annotations
@@ -32,9 +33,18 @@ def long_form(x: DataFrame, cols: list[str] = SCALAR_FEATURES) -> DataFrame:
     return x.select("graph_id", "node_id", F.explode(rows).alias("t")).select("graph_id", "node_id", "t.dim", "t.x")
 
 
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """One row per (graph_id, src, dst), for edges of unknown origin."""
+    return edges.select("graph_id", "src", "dst").dropDuplicates(["graph_id", "src", "dst"])
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    return edges.select("graph_id", "src", "dst").where("src <> dst")
+
+
 def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     loops = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-    return edges.select("graph_id", "src", "dst").unionByName(loops).dropDuplicates(["graph_id", "src", "dst"])
+    return _between(edges).unionByName(loops)
 
 
 def _src(x: DataFrame, cols: list[str], extra: list[Column] | None = None) -> DataFrame:
@@ -44,29 +54,38 @@ def _src(x: DataFrame, cols: list[str], extra: list[Column] | None = None) -> Da
 def gcn_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
                   cols: list[str] = SCALAR_FEATURES) -> DataFrame:
     """x'_v = sum over u -> v (self loop included) of x_u / sqrt(d_u * d_v),
-    d = in-degree with the self loop."""
-    e = with_self_loops(nodes, edges)
-    deg = e.groupBy("graph_id", "dst").agg(F.count(F.lit(1)).alias("deg"))
-    e = (e.join(deg.select("graph_id", F.col("dst").alias("src"), F.col("deg").alias("du")), ["graph_id", "src"])
-         .join(deg.select("graph_id", "dst", F.col("deg").alias("dv")), ["graph_id", "dst"]))
-    m = e.join(_src(x, cols), ["graph_id", "src"])
-    norm = F.sqrt(F.col("du") * F.col("dv"))
-    return m.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
-        *[F.sum(F.col(c) / norm).alias(c) for c in cols])
+    d = in-degree with the self loop.
+
+    With z_u = x_u / sqrt(d_u) on the nodes, x'_v = (z_v + sum of z_u) /
+    sqrt(d_v): one aggregate and one join of the edges."""
+    e = _between(edges)
+    deg = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_in"))
+    root = F.sqrt(F.coalesce("_in", F.lit(0)) + F.lit(1.0))
+    z = x.join(deg, ["graph_id", "node_id"], "left").withColumn("_r", root)
+    z = z.select("graph_id", "node_id", "_r", *[(F.col(c) / F.col("_r")).alias(c) for c in cols])
+    near = e.join(_src(z, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
+    j = z.join(near, ["graph_id", "node_id"], "left")
+    return j.select("graph_id", "node_id", *[
+        ((F.col(c) + F.coalesce(f"_s{i}", F.lit(0.0))) / F.col("_r")).alias(c) for i, c in enumerate(cols)])
 
 
 def mean_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
                    cols: list[str] = SCALAR_FEATURES) -> DataFrame:
     """Row-normalized: mean of the in-neighbours' features, self included."""
-    m = with_self_loops(nodes, edges).join(_src(x, cols), ["graph_id", "src"])
-    return m.groupBy("graph_id", F.col("dst").alias("node_id")).agg(*[F.avg(c).alias(c) for c in cols])
+    near = _between(edges).join(_src(x, cols), ["graph_id", "src"]).groupBy(
+        "graph_id", F.col("dst").alias("node_id")).agg(
+        F.count(F.lit(1)).alias("_in"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
+    j = x.join(near, ["graph_id", "node_id"], "left")
+    n = F.coalesce("_in", F.lit(0)) + F.lit(1.0)
+    return j.select("graph_id", "node_id", *[
+        ((F.col(c) + F.coalesce(f"_s{i}", F.lit(0.0))) / n).alias(c) for i, c in enumerate(cols)])
 
 
 def sum_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[str] = SCALAR_FEATURES,
                   w_self: float = 1.0, w_neigh: float = 0.5) -> DataFrame:
     """GraphConv with scalar weights: w_self * x_v + w_neigh * sum of in-neighbours."""
-    e = edges.select("graph_id", "src", "dst").dropDuplicates(["graph_id", "src", "dst"])
-    agg = e.join(_src(x, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")) \
+    agg = edges.select("graph_id", "src", "dst").join(_src(x, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")) \
         .agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
     j = x.join(agg, ["graph_id", "node_id"], "left")
     return j.select("graph_id", "node_id", *[

@@ -49,10 +49,10 @@ def q_loc(spark, d):
 
 @register("long_functions", """
 SELECT doc_id, loc FROM (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS loc FROM documents) x
-WHERE loc > 200""")
+WHERE loc > 20""")
 def q_long_functions(spark, d):
     doc = table(spark, d, "documents")
-    return doc.select("doc_id", CF.loc(F.col("text")).alias("loc")).where(F.col("loc") > 200)
+    return doc.select("doc_id", CF.loc(F.col("text")).alias("loc")).where(F.col("loc") > 20)
 
 
 def _flags_sql(col: str) -> str:

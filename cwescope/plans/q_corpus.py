@@ -169,6 +169,25 @@ def q_split_sequential(spark, d):
     return C.split_sequential(o, ["o_orderkey"])
 
 
+WIDE = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+@register("split_sequential_wide", f"""
+SELECT {WIDE}, idx FROM (SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS idx FROM orders) x""")
+def q_split_sequential_wide(spark, d):
+    """Positions of whole rows: other columns must not move them."""
+    i = C.global_index(table(spark, d, "orders"), ["o_orderkey"])
+    return i.select(*[c.strip() for c in WIDE.split(",")], F.col("_idx").cast("bigint").alias("idx"))
+
+
+@register("split_shuffled_wide", f"""
+SELECT doc_id, lang, source, n_chars, {SEQ_SPLIT} AS split
+FROM (SELECT *, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) - 1 AS idx, count(*) OVER () AS n
+      FROM documents) x""")
+def q_split_shuffled_wide(spark, d):
+    return C.split_shuffled(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
 @register("split_shuffled", f"""
 SELECT doc_id, {SEQ_SPLIT} AS split
 FROM (SELECT doc_id, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) - 1 AS idx, count(*) OVER () AS n
@@ -238,20 +257,34 @@ SELECT doc_id, concat('https://scan.example/', source, '/', lang, '_', CAST(doc_
   CASE WHEN doc_id % 5 = 0 THEN '.h' ELSE '.c' END, '#L', CAST(n_chars % 100 AS VARCHAR)) AS url FROM documents"""
 
 
-@register("key_from_url", V.with_views("""
-SELECT doc_id, regexp_extract(url, '_([0-9]+)\\.c', 1) AS key FROM surl
-WHERE regexp_extract(url, '_([0-9]+)\\.c', 1) <> ''""", "surl", extra={"surl": SCAN_URL_SQL}))
-def q_key_from_url(spark, d):
-    doc = table(spark, d, "documents")
+def _scan_url(doc):
     url = F.concat(F.lit("https://scan.example/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("_"),
                    F.col("doc_id").cast("string"),
                    F.when(F.col("doc_id") % 5 == 0, F.lit(".h")).otherwise(F.lit(".c")),
                    F.lit("#L"), (F.col("n_chars") % 100).cast("string"))
-    k = doc.select("doc_id", LB.key_from_url(url).alias("key"))
-    # Rows without a key would all share '' and never join: they are dropped.
+    return doc.select("doc_id", url.alias("url"))
+
+
+@register("key_from_url", V.with_views("""
+SELECT doc_id, regexp_extract(url, '_([0-9]+)\\.c', 1) AS key FROM surl
+WHERE regexp_extract(url, '_([0-9]+)\\.c', 1) <> ''""", "surl", extra={"surl": SCAN_URL_SQL}))
+def q_key_from_url(spark, d):
+    url = _scan_url(table(spark, d, "documents"))
+    k = url.select("doc_id", LB.key_from_url(F.col("url")).alias("key"))
+    # Rows without a key would all share '' and never join: they are dropped
+    # (``key_from_url_counts`` reports how many).
     return k.where(F.col("key") != "")
 
 
+@register("key_from_url_counts", V.with_views("""
+SELECT regexp_extract(url, '_([0-9]+)\\.c', 1) <> '' AS has_key, CAST(count(*) AS BIGINT) AS n
+FROM surl GROUP BY 1""", "surl", extra={"surl": SCAN_URL_SQL}))
+def q_key_from_url_counts(spark, d):
+    url = _scan_url(table(spark, d, "documents"))
+    return url.select((LB.key_from_url(F.col("url")) != "").alias("has_key")) \
+        .groupBy("has_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 FNAME_SQL = """
 SELECT doc_id,
   CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE source END AS looked_up,

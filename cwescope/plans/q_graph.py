@@ -51,9 +51,9 @@ IDENT = "regexp_matches(piece, '^[A-Za-z_][A-Za-z0-9_]*$')"
 LTYPE = (f"CASE WHEN {IDENT} AND list_contains({KW_LIST}, piece) THEN piece "
          f"WHEN {IDENT} THEN 'identifier' "
          "WHEN regexp_matches(piece, '^[0-9]') THEN 'number_literal' "
-         "WHEN regexp_matches(piece, '^\".+\"$') OR piece = '\"\"' THEN 'string_literal' "
-         "WHEN regexp_matches(piece, '^''.+''$') OR piece = '''''' THEN 'char_literal' "
-         "ELSE piece END")
+         "WHEN regexp_matches(piece, '(?s)^\".+\"$') OR piece = '\"\"' THEN 'string_literal' "
+         "WHEN regexp_matches(piece, '(?s)^''.+''$') OR piece = '''''' THEN 'char_literal' "
+         "WHEN regexp_matches(piece, '^[!-~]$') THEN piece ELSE 'other' END")
 PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -95,10 +95,10 @@ SELECT s.graph_id, 0, 0, 'translation_unit', true, true, false, false, NULL, 0,
        coalesce(e.er, 0), coalesce(e.ec, 0)
 FROM gsrc s LEFT JOIN (SELECT graph_id, max(end_byte) AS eb, arg_max(end_row, i) AS er, arg_max(end_col, i) AS ec
                        FROM gp GROUP BY graph_id) e ON e.graph_id = s.graph_id""",
-    "gpar": """SELECT a.graph_id, a.node_id, max(g.node_id) AS parent
-               FROM gn0 a JOIN gn0 g ON g.graph_id = a.graph_id AND g.is_group AND g.depth = a.depth - 1
-                                     AND g.node_id < a.node_id
-               GROUP BY a.graph_id, a.node_id""",
+    "gpar": """SELECT a.graph_id, a.node_id, g.node_id AS parent
+               FROM (SELECT graph_id, node_id, depth - 1 AS up FROM gn0) a
+               ASOF JOIN (SELECT graph_id, node_id, depth FROM gn0 WHERE is_group) g
+                 ON g.graph_id = a.graph_id AND g.depth = a.up AND a.node_id > g.node_id""",
     "gn1": """SELECT n.*, p.parent FROM gn0 n LEFT JOIN gpar p ON p.graph_id = n.graph_id AND p.node_id = n.node_id""",
     "gkid": """SELECT k.graph_id, k.parent, k.child_count, l.is_closer AS last_closer, l.end_byte AS cb,
                       l.end_row AS cr, l.end_col AS cc
@@ -511,6 +511,13 @@ def _cfg(spark, d):
     return nodes, edges, vars_
 
 
+@register("src_cfg_edges", V.with_views("""
+SELECT graph_id, src, dst, type FROM cfg_edges""", "cfg_edges"))
+def q_src_cfg_edges(spark, d):
+    n, e, _ = _cfg(spark, d)
+    return R.build_cfg(n, e)[1]
+
+
 @register("src_cfg", V.with_views("""
 SELECT graph_id, id, coalesce(code, '') AS code, 'Statement' AS type FROM cfg_nodes""", "cfg_nodes"))
 def q_src_cfg(spark, d):

@@ -95,8 +95,8 @@ SELECT code, label, cve_id, cwe_ids, url AS commit_url,
   coalesce(CASE WHEN regexp_extract(url, '{LB.GITHUB_COMMIT}', 1) <> ''
            THEN regexp_extract(url, '{LB.GITHUB_COMMIT}', 1) || '/' || regexp_extract(url, '{LB.GITHUB_COMMIT}', 2)
            ELSE nullif(regexp_extract(url, '{LB.GITLAB_COMMIT}', 1), '') END, '') AS project,
-  CASE WHEN regexp_extract(url, '{LB.GITHUB_COMMIT}', 1) <> '' THEN nullif(regexp_extract(url, '{LB.GITHUB_COMMIT}', 3), '')
-       ELSE nullif(regexp_extract(url, '{LB.GITLAB_COMMIT}', 2), '') END AS commit_id,
+  coalesce(CASE WHEN regexp_extract(url, '{LB.GITHUB_COMMIT}', 1) <> '' THEN regexp_extract(url, '{LB.GITHUB_COMMIT}', 3)
+       ELSE regexp_extract(url, '{LB.GITLAB_COMMIT}', 2) END, '') AS commit_id,
   bug_info, file_path
 FROM (SELECT c.code, CASE WHEN coalesce(len(c.cwe), 0) > 0 THEN 1 ELSE 0 END AS label, c.cve_id,
         coalesce(c.cwe, {EMPTY}) AS cwe_ids, u.url, c.lang AS bug_info,
@@ -122,7 +122,7 @@ def _lookup_files(spark, d):
     c = V.corpus(spark, d)
     proj = F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("project"))
     root = IO.scratch(spark, "lookup")
-    arr = c.where(F.col("id") % 3 == 0).select(
+    arr = c.where(F.col("id") % 3 != 1).select(
         (F.col("id") % 16).alias("b"), "id",
         F.to_json(F.struct((F.col("id") % 400).cast("string").alias("hash"), "cwe",
                            proj.alias("project"))).alias("j"))
@@ -140,7 +140,7 @@ def _lookup_files(spark, d):
 @register("src_array_or_lines", V.with_views(f"""
 SELECT CAST(id % 400 AS VARCHAR) AS hash, arg_max(coalesce(cwe, {EMPTY}), id) AS cwes,
   arg_max(CASE WHEN id % 4 = 0 THEN 'unknown' ELSE project END, id) AS project
-FROM corpus WHERE id % 3 = 0 GROUP BY id % 400
+FROM corpus WHERE id % 3 <> 1 GROUP BY id % 400
 UNION ALL
 SELECT 'L' || CAST(id AS VARCHAR), coalesce(cwe, {EMPTY}), CASE WHEN id % 4 = 0 THEN 'unknown' ELSE project END
 FROM corpus WHERE id % 3 = 1 AND id % 7 <> 0""", "corpus"))
@@ -275,14 +275,15 @@ def _graph_split(col):
 
 
 @register("sink_graphs", QG._sql(f"""
-SELECT graph_id, CAST(node_id AS BIGINT) AS node_id, node_type, 'test' AS split FROM (
-  SELECT *, CAST(('0x' || substr(md5(CAST(graph_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM tn) x
-WHERE {SPLIT_EXPR_SQL} = 'test'""", "tn"))
+SELECT graph_id, CAST(node_id AS BIGINT) AS node_id, node_type, {SPLIT_EXPR_SQL} AS split FROM (
+  SELECT *, CAST(('0x' || substr(md5(CAST(graph_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM tn) x""", "tn"))
 def q_sink_graphs(spark, d):
     n = QG._nodes(spark, d).select("graph_id", "node_id", "node_type")
     path = IO.scratch(spark, "graphs")
     IO.write_partitioned(n.withColumn("split", _graph_split(F.col("graph_id"))), path)
-    return IO.read_split(spark, path, "test").select("graph_id", "node_id", "node_type", "split")
+    back = [IO.read_split(spark, path, s).select("graph_id", "node_id", "node_type", F.lit(s).alias("split"))
+            for s in ("train", "val", "test")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
 
 
 @register("sink_vocab", QG._sql(f"SELECT node_type, type_id, {QG.VOCAB_DIM} AS dim, true AS frozen FROM ({QG.VOCAB_SQL}) v",

@@ -8,9 +8,10 @@ never overrides ``spark.checkpoint.dir`` when the cluster names one.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes; safe to apply to an existing session.
@@ -26,6 +27,12 @@ SQL_DEFAULTS = {
 }
 
 
+def ship(module: str) -> None:
+    """Pickle the functions of ``module`` by value when they go to a task, so
+    that executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the defaults above where the caller's session sets nothing."""
     chosen = spark.conf.getAll

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,8 @@ def event_dim_sql() -> str:
 def read_thresholds(spark: SparkSession, path: str, num_classes: int = 9) -> DataFrame:
     """One text line of comma-separated per-class floats -> (cls, threshold).
 
-    Classes without a value get 0.5 (also when the file is absent)."""
+    Classes without a value get 0.5, also when the file is absent. Any other
+    failure to read, and a field that is no number, is an error."""
     classes = spark.range(num_classes).select(F.col("id").alias("cls"))
     try:
         line = spark.read.text(path).limit(1)
@@ -71,6 +73,8 @@ def read_thresholds(spark: SparkSession, path: str, num_classes: int = 9) -> Dat
             .select(F.col("cls").cast("bigint").alias("cls"),
                     F.trim("v").cast("double").alias("threshold"))
         j = classes.join(F.broadcast(vals), "cls", "left")
-    except Exception:  # absent file: every class at the default
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         j = classes.withColumn("threshold", F.lit(None).cast("double"))
     return j.select("cls", F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD)).alias("threshold"))

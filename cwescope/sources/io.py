@@ -11,15 +11,17 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cwescope.functions.labels import key_from_filename, key_from_url, parse_git_url, rule_to_cwe
 from cwescope.session import checkpoint_dir
 
-CORPUS_A_SCHEMA = ("func string, target int, cwe array<string>, project string, commit_id string, "
-                   "hash string, size int, message string, _corrupt_record string")
-CORPUS_B_SCHEMA = ("func string, is_vul boolean, cve_id string, cwe_ids array<string>, git_url string, "
+# Every field is read as text, so one odd value does not spoil its record;
+# expressions convert it.
+CORPUS_A_SCHEMA = ("func string, target string, cwe string, project string, commit_id string, "
+                   "hash string, size string, message string, _corrupt_record string")
+CORPUS_B_SCHEMA = ("func string, is_vul string, cve_id string, cwe_ids string, git_url string, "
                    "commit_msg string, file_path string, _corrupt_record string")
 LOOKUP_ELEM = "struct<hash:string,cwe:array<string>,project:string,_corrupt_record:string>"
 
@@ -32,10 +34,34 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 # --- corpora ----------------------------------------------------------------------
 
+def is_array_file(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of a file under ``path`` that is not blank opens
+    an array; a folder holds one form."""
+    head = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").limit(1).collect()
+    return bool(head) and head[0].v.startswith("[")
+
+
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON Lines with an explicit schema; malformed rows keep _corrupt_record."""
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    """Records of JSON Lines files (split freely) or of files that hold one
+    JSON array each (any layout, one task per file); malformed rows keep
+    _corrupt_record."""
+    reader = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record"))
+    return reader.option("multiLine", is_array_file(spark, path)).json(path)
+
+
+def text_list(c: Column) -> Column:
+    """JSON text of a list, or a plain string, as a list of strings; null and
+    '' are empty."""
+    return (F.when(c.startswith("["), F.from_json(c, "array<string>"))
+            .when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(F.array(c)))
+
+
+def truthy(c: Column) -> Column:
+    """1 for what a truth test accepts of a JSON value read as text."""
+    number = F.try_to_number(c, F.lit("S999999999.999999"))
+    empty = c.isin("", "false", "[]", "{}", "null") | F.coalesce(number == 0, F.lit(False))
+    return F.coalesce(~empty, F.lit(False)).cast("int")
 
 
 def quarantine(raw: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -55,12 +81,12 @@ def functions_from_a(good: DataFrame, allow: list[str] | None = None) -> DataFra
     """Corpus A record -> sample: id <- hash (default ''), code <- func,
     cwe_ids <- cwe (default []), label = non-empty cwe list (``target`` is
     kept as a column but does not decide the label)."""
-    cwe = F.coalesce(F.col("cwe"), F.array().cast("array<string>"))
+    cwe = text_list(F.col("cwe"))
     out = good.select(
         F.coalesce("hash", F.lit("")).alias("id"), F.col("func").alias("code"),
         cwe.alias("cwe_ids"), F.coalesce("project", F.lit("")).alias("project"),
         F.coalesce("commit_id", F.lit("")).alias("commit_id"), F.col("message").alias("bug_info"),
-        "target", (F.size(cwe) > 0).cast("int").alias("label"))
+        F.expr("try_cast(target AS int)").alias("target"), (F.size(cwe) > 0).cast("int").alias("label"))
     if allow is not None:
         allowed = F.array(*[F.lit(x) for x in allow])
         out = out.where((F.size("cwe_ids") == 0) | F.arrays_overlap("cwe_ids", allowed))
@@ -74,18 +100,19 @@ def read_functions(spark: SparkSession, path: str, allow: list[str] | None = Non
 
 def read_functions_git(spark: SparkSession, path: str) -> DataFrame:
     """Corpus B: ``is_vul`` and ``func`` required; label from is_vul; project
-    and commit from the commit URL ('' project when it does not parse)."""
+    and commit from the commit URL ('' when it does not parse; a URL that is
+    a number is null)."""
     good, _ = quarantine(read_json_records(spark, path, CORPUS_B_SCHEMA), ["func", "is_vul"])
-    pg = parse_git_url(F.col("git_url"))
+    url = F.when(~F.col("git_url").rlike(r"^-?[0-9.]+$"), F.col("git_url"))
+    pg = parse_git_url(url)
     return good.select(
-        F.col("func").alias("code"), F.col("is_vul").cast("int").alias("label"), "cve_id",
-        F.coalesce("cwe_ids", F.array().cast("array<string>")).alias("cwe_ids"),
-        F.col("git_url").alias("commit_url"), F.coalesce(pg["project"], F.lit("")).alias("project"),
-        pg["commit_id"].alias("commit_id"), F.col("commit_msg").alias("bug_info"), "file_path")
+        F.col("func").alias("code"), truthy(F.col("is_vul")).alias("label"), "cve_id",
+        text_list(F.col("cwe_ids")).alias("cwe_ids"), url.alias("commit_url"), F.coalesce(pg["project"], F.lit("")).alias("project"),
+        F.coalesce(pg["commit_id"], F.lit("")).alias("commit_id"), F.col("commit_msg").alias("bug_info"), "file_path")
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array, single object or JSON Lines (unparsable lines dropped) ->
+    """JSON array, single object (either in any layout) or JSON Lines (unparsable lines dropped) ->
     lookup (hash, cwes, project default 'unknown'); for a duplicate hash the
     last record wins. One task per file (file order decides 'last')."""
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
@@ -96,8 +123,9 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     one = F.from_json("v", LOOKUP_ELEM, opts)
     lines = F.transform(F.filter(F.split("v", "\n"), lambda s: F.trim(s) != ""),
                         lambda s: F.from_json(F.trim(s), LOOKUP_ELEM, opts))
-    recs = F.when(first == "[", arr).when(
-        (first == "{") & ~F.col("v").contains("\n"), F.array(one)).otherwise(lines)
+    # between two objects of one JSON value there is a comma, between two lines none
+    several = F.col("v").rlike(r"\}[ \t\r]*\n\s*\{") | one["_corrupt_record"].isNotNull()
+    recs = F.when(first == "[", arr).when((first == "{") & ~several, F.array(one)).otherwise(lines)
     e = whole.select("_f", F.posexplode(recs).alias("_pos", "r")) \
         .where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull())
     e = e.select("_f", "_pos", F.coalesce("r.hash", F.lit("")).alias("hash"),

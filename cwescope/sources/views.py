@@ -252,6 +252,10 @@ VIEW_DEPS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Oracle views that several others read; they are computed once.
+SHARED = ("gp", "gt", "gn0", "gn1", "gn2", "tn", "ge")
+
+
 def with_views(sql: str, *names: str, extra: dict[str, str] | None = None,
                extra_deps: dict[str, tuple[str, ...]] | None = None) -> str:
     """Prefix ``sql`` with a WITH clause defining the named views (deps first)."""
@@ -273,5 +277,5 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None,
         visit(n)
     if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS ({defs[n].strip()})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({defs[n].strip()})" for n in order)
     return f"WITH {ctes}\n{sql.strip()}"

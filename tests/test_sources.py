@@ -12,7 +12,7 @@ def test_clone_join_chunked_equals_single(spark, sf, monkeypatch):
     t = e.where(F.col("label") != 0).select("vec_id", F.col("embedding").alias("vec"))
     k = e.where(F.col("label") == 0).select("vec_id", F.col("embedding").alias("vec"))
     one = {r["vec_id"]: r["max_sim"] for r in VE.clone_join(t, k, key="vec_id").collect()}
-    monkeypatch.setattr(VE, "MAX_BROADCAST_CELLS", 64 * 7)  # 7 known vectors per chunk
+    monkeypatch.setattr(VE, "BLOCK_ROWS", 7)
     many = {r["vec_id"]: r["max_sim"] for r in VE.clone_join(t, k, key="vec_id").collect()}
     assert one.keys() == many.keys()
     assert np.allclose([one[i] for i in one], [many[i] for i in one], atol=1e-12)
@@ -24,6 +24,15 @@ def test_clone_join_chunked_equals_single(spark, sf, monkeypatch):
         assert abs(one[r["vec_id"]] - float((kv @ (v / np.linalg.norm(v))).max())) < 1e-9
 
 
+def test_clone_join_keeps_a_row_for_each_target(spark, monkeypatch):
+    t = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [0.0, 0.0])], "id long, vec array<double>")
+    k = spark.createDataFrame([(9, [3.0, 0.0]), (9, [4.0, 3.0])], "id long, vec array<double>")
+    for rows in (1, 2, 100):
+        monkeypatch.setattr(VE, "BLOCK_ROWS", rows)
+        got = sorted((r["id"], round(r["max_sim"], 9), r["is_clone"]) for r in VE.clone_join(t, k).collect())
+        assert got == [(1, 0.6, False), (1, 1.0, True), (2, 0.0, False)]
+
+
 def test_clone_join_empty_known_set(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     out = VE.clone_join(e, e.where("false"), key="vec_id").collect()
@@ -41,3 +50,34 @@ def test_lookup_single_object_array_and_lines(spark):
     # file order a < b < c: the later record of hash 1 (in b) wins
     assert got == {"1": (["CWE-9"], "unknown"), "2": ([], "unknown"), "3": ([], "unknown"),
                    "4": ([], "q")}
+
+
+def test_corpus_arrays_and_odd_values(spark):
+    root = IO.scratch(spark, "corpus-test")
+    a = """[
+  {"func": "f", "cwe": "CWE-1", "hash": 7, "target": "x"},
+  {"func": "g", "cwe": ["CWE-2", "CWE-3"], "size": "big"},
+  {"func": "h", "cwe": []},
+  {"cwe": []}
+]"""
+    b = """[
+ {"func": "f", "is_vul": 1, "git_url": 5}, {"func": "g", "is_vul": false, "cwe_ids": ["CWE-9"]},
+ {"func": "h", "is_vul": "yes"}, {"func": "i", "is_vul": 0}, {"func": "j"}
+]"""
+    for name, text in (("a", a), ("b", b)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/{name}")
+    got = {r["code"]: (r["id"], r["cwe_ids"], r["label"], r["target"])
+           for r in IO.read_functions(spark, f"{root}/a").collect()}
+    assert got == {"f": ("7", ["CWE-1"], 1, None), "g": ("", ["CWE-2", "CWE-3"], 1, None), "h": ("", [], 0, None)}
+    got = {r["code"]: (r["label"], r["commit_url"], r["commit_id"], r["cwe_ids"])
+           for r in IO.read_functions_git(spark, f"{root}/b").collect()}
+    assert got == {"f": (1, None, "", []), "g": (0, None, "", ["CWE-9"]), "h": (1, None, "", []),
+                   "i": (0, None, "", [])}
+
+
+def test_lookup_pretty_object(spark):
+    root = IO.scratch(spark, "lookup-pretty")
+    text = '{\n  "hash": "1",\n  "cwe": ["CWE-1"],\n  "project": "p"\n}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(root)
+    assert [(r["hash"], r["cwes"], r["project"]) for r in IO.read_lookup(spark, root).collect()] == [
+        ("1", ["CWE-1"], "p")]
