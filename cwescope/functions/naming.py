@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Naming styles in the order they are tried.
@@ -51,6 +51,15 @@ def identifier_parts(name: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: F.length(p) > 1), lambda p: F.lower(p))
 
 
+def meaningful_in(names: DataFrame, words: DataFrame) -> DataFrame:
+    """Dictionary rule: (name, meaningful), true if any part of the name is one
+    of ``words`` (word, any case). ``names`` (name) has a row per name."""
+    known = words.select(F.lower("word").alias("part")).distinct()
+    hit = (names.select("name", F.explode(identifier_parts(F.col("name"))).alias("part"))
+           .join(known, "part", "left_semi").select("name").distinct().withColumn("_hit", F.lit(True)))
+    return names.join(hit, "name", "left").select("name", F.coalesce("_hit", F.lit(False)).alias("meaningful"))
+
+
 def meaningful_name(name: Column) -> Column:
     """Faithful rule: true if any part (len > 1) is alphabetic."""
     return F.exists(identifier_parts(name), lambda p: p.rlike(r"^\p{L}+$"))

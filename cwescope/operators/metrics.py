@@ -132,6 +132,18 @@ def prf_averaged(pred: DataFrame, beta: float = F_BETA) -> DataFrame:
           for k in ("precision", "recall", "f1", "fbeta")])
 
 
+def prf_binary(pred: DataFrame, cls: int, beta: float = F_BETA) -> DataFrame:
+    """One row: precision / recall / F1 / F-beta of label 1 of one class (the
+    'binary' average); zero division gives 0."""
+    one = pred.where(F.col("cls") == cls).agg(
+        F.sum(F.col("y") * F.col("yhat")).alias("tp"), F.sum((1 - F.col("y")) * F.col("yhat")).alias("fp"),
+        F.sum(F.col("y") * (1 - F.col("yhat"))).alias("fn"))
+    tp, fp, fn = (F.coalesce(c, F.lit(0)) for c in ("tp", "fp", "fn"))
+    return one.select(F.lit("binary").alias("average"), safe_div(tp, tp + fp).alias("precision"),
+                      safe_div(tp, tp + fn).alias("recall"), fbeta_from_counts(tp, fp, fn).alias("f1"),
+                      fbeta_from_counts(tp, fp, fn, beta).alias("fbeta"))
+
+
 def sample_scores(pred: DataFrame) -> DataFrame:
     """Subset accuracy, binary accuracy and any-label-true (one row)."""
     s = _per_sample(pred)

@@ -178,6 +178,16 @@ def q_meaningful_name(spark, d):
     return _names(spark, d).select("name", NF.meaningful_name(F.col("name")).alias("meaningful"))
 
 
+@register("meaningful_name_dictionary", _nv(f"""
+SELECT name, coalesce(list_has_any({PARTS_SQL}, (SELECT list(DISTINCT lower(w)) FROM (
+  SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT event_type FROM events))), false)
+  AS meaningful FROM names"""))
+def q_meaningful_name_dictionary(spark, d):
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")) \
+        .unionByName(table(spark, d, "events").select(F.col("event_type").alias("word")))
+    return NF.meaningful_in(_names(spark, d), words)
+
+
 IDENTS_SQL = f"""
 SELECT fn, CAST(coalesce(sum(strlen(piece)) OVER (PARTITION BY fn ORDER BY i
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, piece

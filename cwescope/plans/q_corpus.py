@@ -66,6 +66,16 @@ def q_corpus_stats(spark, d):
     return C.corpus_stats(_corpus(spark, d))
 
 
+@register("corpus_values", _cs("""
+SELECT DISTINCT 'cve' AS kind, cve_id AS value FROM corpus WHERE cve_id <> ''
+UNION ALL SELECT DISTINCT 'project', project FROM corpus WHERE project <> ''"""))
+def q_corpus_values(spark, d):
+    c = _corpus(spark, d)
+    kinds = [C.distinct_values(c, col).select(F.lit(kind).alias("kind"), "value")
+             for kind, col in (("cve", "cve_id"), ("project", "project"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 @register("project_profile", _cs(f"""
 SELECT project, count(*) AS samples, count(*) FILTER (WHERE {VUL}) AS vuln_samples,
   list_sort(list_distinct(flatten(list(coalesce(cwe, []::VARCHAR[]))))) AS cwes,

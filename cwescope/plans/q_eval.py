@@ -296,6 +296,14 @@ def q_prf_averaged(spark, d):
     return M.prf_averaged(V.pred(spark, d))
 
 
+@register("prf_binary", _pred_sql(f"""
+SELECT 'binary' AS average, {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall,
+  {_f1('tp', 'fp', 'fn')} AS f1, {_fb('tp', 'fp', 'fn', 1.5)} AS fbeta FROM c WHERE cls = 0""", PRED_COUNTS),
+          rnd=("precision", "recall", "f1", "fbeta"))
+def q_prf_binary(spark, d):
+    return M.prf_binary(V.pred(spark, d), 0)
+
+
 SAMPLE_CTE = """
 ss AS (SELECT sample_id, bool_and(y = yhat) AS exact, max(y) AS any_true, max(yhat) AS any_pred,
          sum(y * yhat) AS tp FROM pred GROUP BY sample_id)"""
@@ -381,6 +389,18 @@ def q_decode_labels(spark, d):
     return M.decode_labels(p, th, class_names(spark), op=">")
 
 
+@register("decode_labels_at_least", _pred_sql("""
+SELECT pr.sample_id,
+  coalesce(list_sort(list(coalesce(nm.cwe_id, 'Unknown-' || CAST(pr.cls AS VARCHAR)))
+                     FILTER (WHERE pr.p >= coalesce(th.threshold, 0.5))), []::VARCHAR[]) AS labels
+FROM pred pr LEFT JOIN th ON th.cls = pr.cls LEFT JOIN nm ON nm.idx = pr.cls
+GROUP BY pr.sample_id""", *TUNE_CTES, "nm AS (" + label_dim_sql() + ")"))
+def q_decode_labels_at_least(spark, d):
+    p = V.pred(spark, d)
+    th = M.tune_thresholds(p).select("cls", "threshold")
+    return M.decode_labels(p, th, class_names(spark), op=">=")
+
+
 @register("best_class", _pred_sql("""
 SELECT sample_id, cls AS best_cls, p AS best_p FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, cls) AS rn FROM pred) x
