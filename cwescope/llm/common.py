@@ -45,7 +45,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     evaluation, no lineage behind it, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,27 +1,32 @@
-"""Connected components by alternating large stars and small stars.
+"""Connected components, and components of similar pairs in buckets.
 
-Each round links every node to the least node it sees. Both star steps are an
-aggregate (combined map-side) and a join of two stored tables on the node, so
-a node with very many neighbours is split like any skewed join. Edges are
-written to the shared folder after each step; nothing reaches the driver but
-a count and a checksum per round.
+``components`` alternates large stars and small stars: each step links every
+node to the least node it sees. A step is an aggregate (combined map-side) and
+a join with its stored result, so a node with very many neighbours is split
+like any skewed join. Edges are written to the shared folder after each step;
+the driver learns only whether all edges point to roots.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cwescope.llm.common import store
 
 
-def _star(edges: DataFrame, tag: str) -> DataFrame:
+def _least(edges: DataFrame, tag: str) -> DataFrame:
     """For edges (u, v): u with the least of u and its v."""
     return store(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), tag)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _all_roots(e: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u."""
+    if not e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,16 +37,63 @@ def components(edges: DataFrame) -> DataFrame:
     # u > v in all stored edges
     e = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
               .where("u <> v").distinct(), "cc-edges")
-    state = _state(e)
-    while state[0]:
-        both = store(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
-        large = store(both.join(_star(both, "cc-large"), "u").where("v > u")
+    while not _all_roots(e):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = store(both.join(_least(both, "cc-large"), "u").where("v > u")
                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
-        least = _star(large, "cc-small")
+        least = _least(large, "cc-small")
         e = store(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                   .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-edges")
-        before, state = state, _state(e)
-        if state == before:
-            break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return store(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "cc-roots")
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, few: int = 1) -> DataFrame:
+    """node, root: components of the similar pairs among nodes that share a
+    bucket (``members``: bucket, node).
+
+    ``verify`` takes distinct pairs (a < b) and returns (a, b, similar). In a
+    bucket with at most ``few`` open pairs per member all of them are
+    verified. In a larger one each member is verified against a centre, the
+    least by a hash of the round, which is mostly the same node in all buckets
+    of a group. A pair is open while its ends are not connected; what is open
+    after ``rounds`` is verified pair by pair. So no link is lost, and a large
+    group does not emit all its pairs."""
+    links = tried = roots = None
+    for step in range(rounds + 1):
+        here = members.withColumn("root", F.col("node")) if roots is None else (
+            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        here = store(here.select("bucket", "node", "root"), "link-here")
+        per = here.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(
+            F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inner"))
+        pairs = (F.col("n") * F.col("n") - F.col("inner")) / 2
+        per = store(per.where(pairs > 0).select(
+            "bucket", ((pairs <= few * F.col("n")) | F.lit(step == rounds)).alias("few")), "link-open")
+        here = here.join(per, "bucket")
+        small = here.where("few").select("bucket", "node", "root")
+        asked = (small.join(small.select("bucket", F.col("node").alias("other"), F.col("root").alias("to")), "bucket")
+                 .where((F.col("node") < F.col("other")) & (F.col("root") != F.col("to")))
+                 .select(F.col("node").alias("a"), F.col("other").alias("b")))
+        large = here.where(~F.col("few"))
+        centre = store(large.groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("c"))
+            .select("bucket", F.col("c.node").alias("other"), F.col("c.root").alias("to")), "link-centres")
+        star = (large.join(centre, "bucket").where(F.col("root") != F.col("to"))
+                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+        asked = asked.unionByName(star).distinct()
+        if tried is not None:
+            asked = asked.join(tried, ["a", "b"], "left_anti")
+        asked = store(asked, "link-asked")
+        if not asked.isEmpty():
+            found = store(verify(asked), "link-verified")
+            now, all_ = found.where("similar").select("a", "b"), asked.select("a", "b")
+            links = now if links is None else links.unionByName(now)
+            tried = all_ if tried is None else tried.unionByName(all_)
+            roots = components(links)
+        # what was verified pair by pair is settled
+        members = store(members.join(per.where(~F.col("few")).select("bucket"), "bucket"), "link-members")
+        if members.isEmpty():
+            break
+    if roots is None:
+        return members.select("node", F.col("node").alias("root")).limit(0)
+    return roots
