@@ -14,12 +14,10 @@ the connected groups.
    documents with probability equal to their weighted Jaccard similarity. Only
    points up to the time by which all registers are filled are drawn, about
    ``m (ln m + c)`` of them a document, whatever its length.
-3. Nodes that agree in a band of registers share a bucket. In a bucket with
-   few open pairs all are verified; in a large one each member is verified
-   against one centre, another one each round, as most large buckets are one
-   group. A pair is open while its ends are not connected yet; what is open
-   after ``STAR_ROUNDS`` rounds is verified pair by pair, so no link between
-   candidates is lost and no bucket emits all its pairs needlessly.
+3. Nodes that agree in a band of registers share a bucket. Candidates are
+   verified bucket by bucket (``components.linked``): a pair needs no check
+   once its ends are connected, so a large group costs few checks, and no link
+   between candidates is lost.
 4. Verification compares the full multisets of shingles.
 
 With 20 bands of 5 registers a pair at similarity 0.8 becomes a candidate
@@ -41,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cwescope.llm.common import mixed, ship, split_words, store, window_hashes, word_hashes
-from cwescope.llm.components import components
+from cwescope.llm.components import linked
 
 ship(__name__)
 
@@ -167,8 +165,8 @@ def signatures(doc: np.ndarray, values: np.ndarray, n_docs: int, bands: int, row
 def _sign(bands: int, rows: int):
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
                 offsets, doc, values, hashes = shingles(batch.column("text"))
                 order = np.argsort(doc, kind="stable")
                 marks = signatures(doc[order], values[order], batch.num_rows, bands, rows)
@@ -202,8 +200,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 def _verify(least: float):
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 100):
+                batch = whole.slice(lo, 100)
                 pair = [shingles(batch.column(c)) for c in ("x", "y")]
                 parts = []
                 for _, doc, values, _ in pair:
@@ -217,9 +215,9 @@ def _verify(least: float):
 
 # ---- operator ----------------------------------------------------------------
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text for the wanted nodes, from the first row that has them."""
-    wanted = store(wanted.join(nodes, "node").select("node", F.col("first_id").alias("_id")), "near-wanted")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text for the wanted nodes (node, first_id), from a row that has them."""
+    wanted = wanted.select("node", F.col("first_id").alias("_id"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "text")
@@ -227,19 +225,6 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return store(rows.mapInArrow(_own_node, "node long, text string").dropDuplicates(["node"]), "near-texts")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """a, b, similar."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(docs, nodes, ends)
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
-    return store(both.mapInArrow(_verify(least), "a long, b long, similar boolean"), "near-verified")
-
-
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def classes(docs: DataFrame, least: float = MIN_SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, class_id, kept (the first
     of its class): one row for each row of ``docs``."""
@@ -254,46 +239,14 @@ def classes(docs: DataFrame, least: float = MIN_SIMILARITY, bands: int = BANDS,
     many = store(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
     members = store(each.join(many, "bucket"), "near-members")
 
-    links = roots = verified = None
-    for step in range(STAR_ROUNDS + 1):
-        here = members.withColumn("root", F.col("node")) if roots is None else (
-            members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        here = store(here.select("bucket", "node", "root"), "near-here")
-        per = here.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(
-            F.sum("k").alias("n"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        per = store(per.where("pairs > 0").withColumn(
-            "few", (F.col("pairs") <= FEW * F.col("n")) | F.lit(step == STAR_ROUNDS)), "near-open")
-        here = here.join(per, "bucket")
-        few = here.where("few").select("bucket", "node", "root")
-        asked = (few.join(few.select("bucket", F.col("node").alias("other"), F.col("root").alias("to")), "bucket")
-                 .where((F.col("node") < F.col("other")) & (F.col("root") != F.col("to")))
-                 .select(*_ordered("node", "other")))
-        large = here.where(~F.col("few"))
-        # the least of a round's hash is the centre, mostly the same in all buckets of a group
-        centre = store(large.groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("c"))
-            .select("bucket", F.col("c.node").alias("other"), F.col("c.root").alias("to")), "near-centres")
-        star = large.join(centre, "bucket").where(F.col("root") != F.col("to")).select(*_ordered("node", "other"))
-        asked = asked.unionByName(star).distinct()
-        if verified is not None:
-            asked = asked.join(verified, ["a", "b"], "left_anti")
-        asked = store(asked, "near-asked")
-        if asked.isEmpty():
-            if centre.isEmpty():
-                break
-            continue
-        found = _verified(docs, nodes, asked, least)
-        now = found.where("similar").select("a", "b")
-        links = now if links is None else links.unionByName(now)
-        verified = found.select("a", "b") if verified is None else verified.unionByName(found.select("a", "b"))
-        roots = components(links)
-        # what was verified pair by pair is settled
-        members = store(members.join(per.where(~F.col("few")).select("bucket"), "bucket"), "near-members")
-        if members.isEmpty():
-            break
-
-    if roots is None:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    texts = _texts(docs, store(members.select("node").distinct().join(nodes, "node"), "near-wanted"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+                .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
+        return both.mapInArrow(_verify(least), "a long, b long, similar boolean")
+
+    roots = linked(members, verify, STAR_ROUNDS, FEW)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = store(named.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("f")), "near-classes")
     named = store(named.join(first, "root").select(
