@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 from cwescope.llm.common import store
 
 
-def _least(edges: DataFrame, tag: str) -> DataFrame:
+#: Edges per file of the stored tables: few edges take few files and tasks,
+#: whatever the number of shuffle partitions.
+FILE_EDGES = 500_000
+
+
+def _least(edges: DataFrame, files: int) -> DataFrame:
     """For edges (u, v): u with the least of u and its v."""
-    return store(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), tag)
+    return store(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).coalesce(files), "cc-least")
 
 
 def _all_roots(e: DataFrame) -> bool:
@@ -37,15 +42,18 @@ def components(edges: DataFrame) -> DataFrame:
     # u > v in all stored edges
     e = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
               .where("u <> v").distinct(), "cc-edges")
+    files = 1 + e.count() // FILE_EDGES
     while not _all_roots(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = store(both.join(_least(both, "cc-large"), "u").where("v > u")
-                      .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
-        least = _least(large, "cc-small")
+        large = store(both.join(_least(both, files), "u").where("v > u")
+                      .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files), "cc-edges")
+        least = _least(large, files)
         e = store(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-edges")
+                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+                  .coalesce(files), "cc-edges")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return store(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "cc-roots")
+    return store(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+                 .coalesce(files), "cc-roots")
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, few: int = 1) -> DataFrame:
