@@ -36,7 +36,7 @@ from cwescope.llm.common import mixed, ship, split_words, window_hashes, word_ha
 ship(__name__)
 
 LENGTH = 20
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_500_000
 BUCKET_WINDOWS = 1 << 20
 CHARS_PER_WORD = 6
 #: Stands for a null id; greater than every id.
@@ -189,7 +189,7 @@ def _bucket(length: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         ids, n_words, n_removed, kept, spans = [], [], [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
             words = (text or "").encode().split()
