@@ -60,13 +60,15 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words of each text: (start offsets, one more than texts; flat words)."""
     if len(texts) == 0:
         return np.zeros(1, np.int64), pa.array([], pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
+    # taken anew: a slice's offsets do not start at 0
+    texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    size = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)])
     flat = lists.flatten()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0))
     seen = np.concatenate([[0], np.cumsum(full, dtype=np.int64)])
-    first = offsets[0]
-    return seen[offsets - first], flat if full.all() else flat.filter(pa.array(full))
+    return seen[offsets], flat if full.all() else flat.filter(pa.array(full))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

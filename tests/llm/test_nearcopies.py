@@ -105,3 +105,17 @@ def test_tables(spark, sf):
     got = sorted(((r.doc_id, r.class_id) for r in nc.near_report(docs).collect()), key=str)
     assert got == brute(rows, nc.MIN_SIMILARITY)
     assert nc.near_report(docs.limit(0)).count() == 0
+
+
+def test_slices_of_a_batch_give_the_same_words():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = pa.array([" ".join(rng.choices([f"W{i}" for i in range(50)], k=rng.choice([0, 1, 3, 8, 40])))
+                      for _ in range(300)] + [None])
+    _, doc, values, _ = nc.shingles(texts)
+    for lo in range(0, 301, 43):
+        part = texts.slice(lo, 43)
+        _, d, v, _ = nc.shingles(part)
+        for k in range(len(part)):
+            assert sorted(values[doc == lo + k].tolist()) == sorted(v[d == k].tolist())
