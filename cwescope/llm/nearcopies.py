@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import mixed, ship, split_words, store, window_hashes, word_hashes
+from cwescope.llm.common import compact, mixed, ship, split_words, store, window_hashes, word_hashes
 from cwescope.llm.components import linked
 
 ship(__name__)
@@ -61,7 +61,7 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 def shingles(texts: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, ...]:
     """Word offsets, document of each shingle, shingle hashes, word hashes."""
-    offsets, words = split_words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    offsets, words = split_words(pc.ascii_lower(compact(texts)))
     hashes = word_hashes(words)
     size = np.diff(offsets)
     many = np.where(size >= length, size - length + 1, 0)
@@ -183,7 +183,7 @@ def _sign(bands: int, rows: int):
 def _own_node(batches):
     """Rows (node, text) whose text is the node's."""
     for batch in batches:
-        offsets, words = split_words(pc.ascii_lower(batch.column("text").cast(pa.large_string())))
+        offsets, words = split_words(pc.ascii_lower(compact(batch.column("text"))))
         found = sequence_hashes(offsets, word_hashes(words)).view(np.int64)
         yield batch.filter(pa.array(found == np.asarray(batch.column("node"))))
 

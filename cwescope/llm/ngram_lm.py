@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import mixed, ship, split_words, store, word_hashes
+from cwescope.llm.common import compact, mixed, ship, split_words, store, word_hashes
 from cwescope.llm.eliasfano import BigramTrie
 
 ship(__name__)
@@ -88,7 +88,7 @@ CHUNK_SCHEMA = pa.schema([(n, pa.int64()) for n in ("chunk", "n_docs", "n_words"
 def _chunk_row(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     columns = [pa.chunked_array([p.column(c) for p in parts]).combine_chunks() for c in ("doc_id", "held", "text")]
     ids, held, texts = columns
-    offsets, words = split_words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    offsets, words = split_words(pc.ascii_lower(compact(texts)))
     hashes = word_hashes(words)
     del words
     size = np.diff(offsets) + 1

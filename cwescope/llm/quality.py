@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import mixed, ship, split_words, store
+from cwescope.llm.common import compact, mixed, ship, split_words, store
 
 ship(__name__)
 
@@ -66,7 +66,7 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document of each token, token hash); each distinct word is cut once."""
     import xxhash
 
-    offsets, words = split_words(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    offsets, words = split_words(pc.utf8_lower(compact(texts)))
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     coded = pc.dictionary_encode(words)
