@@ -12,9 +12,15 @@ without replacement with probabilities that follow the weights.
   8, ..., as an n-gram of that level, so floods of one word are n-grams of
   their own and do not weigh down the word elsewhere.
 * Each n-gram falls into one of ``BUCKETS`` buckets. Both models are arrays of
-  that size: tasks send them in slices, slices are added up, and the ratio
-  (4 MB) goes to the tasks. Ratios with little evidence (fewer than ``Z``
+  that size: tasks send them in slices, slices are added up, and the ratios
+  (4 MB each) go to the tasks. Ratios with little evidence (fewer than ``Z``
   standard deviations, or within a factor e of 1) count as 1.
+* Harm: a mean over a document hides a few toxic words in a long text. So a
+  second ratio, documents labelled toxic against target documents, is summed
+  over each ``PASSAGE`` tokens in a row, positive evidence only; a document is
+  as harmful as its worst passage. Documents above the harm that ``SAFE`` of
+  the target documents stay within are never selected. A target document is
+  left out of the counts that judge it.
 * Target: labelled rows of quality 1 that are not toxic, at most about
   ``TARGET_DOCS`` of them by a hash of the id. Everything else, raw counts
   above all, covers all documents.
@@ -23,7 +29,8 @@ without replacement with probabilities that follow the weights.
   ranges; the driver sees at most ``CELLS`` counts at a time.
 
 Null and empty texts have no n-grams and are never selected. Without target
-documents all weights are 0 and all documents with n-grams are selected. A
+documents all weights are 0 and all documents with n-grams are selected;
+without toxic ones no document is harmful. A
 document that is labelled twice is a target if all its labels say so. Noise
 depends on id and text: reruns agree, equal rows are taken or left together,
 and so are all rows at the k-th key. Other columns pass through ``select``.
@@ -53,8 +60,13 @@ MIN_RATIO = 1.0
 SHORT = 50
 REFERENCE = 1000.0
 KEEP = 0.995
+#: Tokens of a passage, and the share of target documents that are not harmful.
+PASSAGE = 50
+SAFE = 0.995
 CELLS = 4096
 
+#: Documents that are counted: all, target, toxic.
+MODELS = ("raw", "target", "toxic")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 AGAIN, START = np.uint64(7), np.uint64(1)
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -81,17 +93,25 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc, table[place]
 
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each counted n-gram occurrence, by document."""
-    doc, token = token_hashes(texts)
-    if not len(doc):
-        return doc, np.zeros(0, np.int64)
+def token_buckets(doc: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token, and of each with the one before it."""
     opens = np.concatenate([[True], doc[1:] != doc[:-1]])
     same = np.concatenate([[False], token[1:] == token[:-1]]) & ~opens
     token = np.where(same, AGAIN, token)
     before = np.where(opens, START, np.concatenate([[START], token[:-1]]))
     low = np.uint64(BUCKETS - 1)
-    both = np.concatenate([mixed(token) & low, mixed(before * GOLD + token) & low])
+    return mixed(token) & low, mixed(before * GOLD + token) & low
+
+
+def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each counted n-gram occurrence, by document."""
+    doc, token = token_hashes(texts)
+    return counted_ngrams(doc, *token_buckets(doc, token)) if len(doc) else (doc, np.zeros(0, np.int64))
+
+
+def counted_ngrams(doc: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(BUCKETS - 1)
+    both = np.concatenate([one, two])
     key = np.sort((np.concatenate([doc, doc]).astype(np.uint64) << np.uint64(BUCKET_BITS)) | both)
     at = np.arange(len(key))
     head = np.concatenate([[True], key[1:] != key[:-1]])
@@ -109,35 +129,33 @@ def _parts(batches, rows: int = 2000):
             yield batch.slice(lo, rows)
 
 
-def _slices(raw: np.ndarray, target: np.ndarray):
-    for part, (a, b) in enumerate(zip(np.split(raw, SLICES), np.split(target, SLICES))):
-        if a.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])],
-                names=["part", "raw", "target"])
+def _sums(part: int, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), *(pa.array([c.tobytes()]) for c in counts)], names=["part", *MODELS])
 
 
 def _count(batches):
-    raw, target = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    sums = [np.zeros(BUCKETS, np.int32) for _ in MODELS]
     for batch in _parts(batches):
         doc, bucket = ngrams(batch.column("text"))
-        wanted = np.asarray(batch.column("wanted").fill_null(False))
-        raw += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
-        target += np.bincount(bucket[wanted[doc]], minlength=BUCKETS).astype(np.int32)
-    yield from _slices(raw, target)
+        sums[0] += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+        for total, name in zip(sums[1:], ("wanted", "toxic")):
+            mine = np.asarray(batch.column(name).fill_null(False))
+            total += np.bincount(bucket[mine[doc]], minlength=BUCKETS).astype(np.int32)
+    for part, counts in enumerate(zip(*(np.split(x, SLICES) for x in sums))):
+        if counts[0].any():
+            yield _sums(part, counts)
 
 
 def _add(batches):
     sums: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            a, b = sums.setdefault(r["part"], [np.zeros(BUCKETS // SLICES, np.int64) for _ in range(2)])
-            a += np.frombuffer(r["raw"], np.int32)
-            b += np.frombuffer(r["target"], np.int32)
-    for part, (a, b) in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])],
-            names=["part", "raw", "target"])
+            totals = sums.setdefault(r["part"], [np.zeros(BUCKETS // SLICES, np.int64) for _ in MODELS])
+            for total, name in zip(totals, MODELS):
+                total += np.frombuffer(r[name], np.int32)
+    for part, totals in sums.items():
+        yield _sums(part, totals)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -151,16 +169,51 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.where(sure, ratio, 0).astype(np.float32)
 
 
-def _score(ratio: np.ndarray):
+def harm_ratio(toxic: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of the toxic model to the target one, by bucket, where it
+    speaks for the toxic one."""
+    toxic, target = toxic.astype(np.float64), target.astype(np.float64)
+    if not toxic.sum() or not target.sum():
+        return np.zeros(len(toxic), np.float32)
+    share = toxic.sum() / (toxic.sum() + target.sum())
+    expected = (toxic + target) * share
+    ratio = np.log((toxic + PRIOR) / (target + PRIOR) * (target.sum() / toxic.sum()))
+    sure = (ratio >= MIN_RATIO) & (toxic - expected >= Z * np.sqrt(expected + 1))
+    return np.where(sure, ratio, 0).astype(np.float32)
+
+
+def worst_passages(doc: np.ndarray, evidence: np.ndarray, n: int) -> np.ndarray:
+    """Largest sum of ``evidence`` over PASSAGE tokens in a row, by document."""
+    out = np.zeros(n)
+    if not len(doc):
+        return out
+    opens = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    first = np.repeat(opens, np.diff(np.append(opens, len(doc))))
+    total = np.concatenate([[0], np.cumsum(evidence, dtype=np.float64)])
+    at = np.arange(len(doc))
+    sums = total[at + 1] - total[np.maximum(first, at + 1 - PASSAGE)]
+    out[doc[opens]] = np.round(np.maximum.reduceat(sums, opens), 6)
+    return out
+
+
+def _score(ratio: np.ndarray, harm: np.ndarray, own: np.ndarray):
+    """``own``: the harm ratio of n-grams in a target document, without it."""
     def run(batches):
         for batch in _parts(batches):
-            doc, bucket = ngrams(batch.column("text"))
+            doc, token = token_hashes(batch.column("text"))
+            worst, bucket = np.zeros(batch.num_rows), np.zeros(0, np.int64)
+            if len(doc):
+                one, two = token_buckets(doc, token)
+                target = np.asarray(batch.column("wanted").fill_null(False))[doc]
+                worst = worst_passages(doc, np.where(target, own[one] + own[two], harm[one] + harm[two]),
+                                       batch.num_rows)
+                doc, bucket = counted_ngrams(doc, one, two)
             n = np.bincount(doc, minlength=batch.num_rows)
             total = np.bincount(doc, weights=ratio[bucket], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), batch.column("wanted"),
-                 pa.array(n.astype(np.int64)), pa.array(total / (n + SHORT) * REFERENCE)],
-                names=["row", "doc_id", "wanted", "n_grams", "log_weight"])
+                 pa.array(n.astype(np.int64)), pa.array(total / (n + SHORT) * REFERENCE), pa.array(worst)],
+                names=["row", "doc_id", "wanted", "n_grams", "log_weight", "harm"])
     return run
 
 
@@ -171,9 +224,18 @@ def target_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
     good = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
             .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
             .where("q = 1 and t = 0").select("doc_id"))
-    share = min(1.0, most / max(1, good.count()))
+    return _at_most(good, most)
+
+
+def toxic_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
+    """doc_id of at most about ``most`` documents with a toxic label."""
+    return _at_most(labels.where(F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).select("doc_id").distinct(), most)
+
+
+def _at_most(ids: DataFrame, most: int) -> DataFrame:
+    share = min(1.0, most / max(1, ids.count()))
     cells = 1 << 30
-    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < int(share * cells))
+    return ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < int(share * cells))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -194,21 +256,31 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """row (hash of id and text), doc_id, wanted, n_grams, log_weight."""
-    wanted = F.broadcast(target_ids(labels).withColumn("wanted", F.lit(True)))  # about TARGET_DOCS ids
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left") \
-        .select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "wanted", "text")
-    schema = "part int, raw binary, target binary"
-    sums = (rows.select("wanted", "text").mapInArrow(_count, schema)
-            .repartition(SLICES, "part").mapInArrow(_add, schema).collect())  # 2 x BUCKETS numbers
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """row (hash of id and text), doc_id, wanted, n_grams, log_weight, harm."""
+    known = target_ids(labels).withColumn("wanted", F.lit(True)).unionByName(
+        toxic_ids(labels).withColumn("wanted", F.lit(False)))  # about 2 x TARGET_DOCS ids, each once
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")) \
+        .join(F.broadcast(known), "doc_id", "left") \
+        .select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.expr("nullif(wanted, false)").alias("wanted"),
+                (~F.col("wanted")).alias("toxic"), "text")
+    schema = "part int, " + ", ".join(f"{m} binary" for m in MODELS)
+    sums = (rows.select("wanted", "toxic", "text").mapInArrow(_count, schema)
+            .repartition(SLICES, "part").mapInArrow(_add, schema).collect())  # 3 x BUCKETS numbers
+    raw, target, toxic = (np.zeros(BUCKETS, np.int64) for _ in MODELS)
     for r in sums:
         at = slice(r.part * (BUCKETS // SLICES), (r.part + 1) * (BUCKETS // SLICES))
-        raw[at] += np.frombuffer(r.raw, np.int64)
-        target[at] += np.frombuffer(r.target, np.int64)
-    return store(rows.mapInArrow(_score(log_ratio(raw, target)), (
-        f"row long, doc_id {dict(docs.dtypes)['doc_id']}, wanted boolean, n_grams long, log_weight double")),
-        "quality-weights")
+        for total, name in zip((raw, target, toxic), MODELS):
+            total[at] += np.frombuffer(r[name], np.int64)
+    ratios = log_ratio(raw, target), harm_ratio(toxic, target), harm_ratio(toxic, np.maximum(target - 1, 0))
+    return store(rows.drop("toxic").mapInArrow(_score(*ratios), (
+        f"row long, doc_id {dict(docs.dtypes)['doc_id']}, wanted boolean, n_grams long, log_weight double, "
+        "harm double")), "quality-weights")
+
+
+def harmless(weighted: DataFrame) -> DataFrame:
+    """The rows within the harm that ``SAFE`` of the target documents keep to."""
+    most = weighted.where("wanted and n_grams > 0").agg(F.percentile("harm", F.lit(SAFE))).first()[0]
+    return weighted if most is None else weighted.where(F.col("harm") <= most)
 
 
 def keys(weighted: DataFrame, seed: int = 0) -> DataFrame:
@@ -233,11 +305,11 @@ def sample(weighted: DataFrame, k: int | None = None, seed: int = 0) -> DataFram
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The selected documents: doc_id, log_weight, key."""
-    return sample(weights(docs, labels)).select("doc_id", "n_grams", "log_weight", "key")
+    return sample(harmless(weights(docs, labels))).select("doc_id", "n_grams", "log_weight", "key")
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Selected rows, columns as they came."""
-    stay = store(sample(weights(docs, labels)).select(F.col("row").alias("_row")).distinct(), "quality-stay")
+    stay = store(sample(harmless(weights(docs, labels))).select(F.col("row").alias("_row")).distinct(), "quality-stay")
     rows = docs.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("string")))
     return rows.join(stay, "_row", "left_semi").select(*docs.columns)

@@ -90,6 +90,26 @@ def test_held_out_labels(spark):
     assert share[1, 0] > 0.97 and share[0, 0] < 0.03 and share[1, 1] < 0.5
 
 
+def test_few_toxic_words_do_not_hide_in_long_texts(spark):
+    """Held-out labels again, by the worst passage and not only by the mean."""
+    docs, labels = tables(spark, "/root/testdata/sf0.1")
+    kept = ql.quality_report(docs, labels.where("doc_id % 2 = 0")).select("doc_id").withColumn("kept", F.lit(1))
+    words = docs.select("doc_id", F.size(F.split("text", r"\s+")).alias("words"))
+    judged = labels.where("doc_id % 2 = 1 and quality = 1").join(words, "doc_id").join(kept, "doc_id", "left")
+    share = {(r.toxic, r.long): r.share for r in judged.groupBy("toxic", (F.col("words") >= 200).alias("long")).agg(
+        (F.count("kept") / F.count("*")).alias("share")).collect()}
+    assert share[1, True] < 0.1 and share[1, False] < 0.15
+    assert share[0, True] > 0.97 and share[0, False] > 0.97
+
+
+def test_worst_passage(spark):
+    doc = np.array([0] * 120 + [2] * 3)
+    evidence = np.zeros(123)
+    evidence[[0, 49, 50, 119, 122]] = [1, 2, 4, 5, 7]
+    assert ql.worst_passages(doc, evidence, 4).tolist() == [6, 0, 7, 0]
+    assert not ql.harm_ratio(np.zeros(4), np.ones(4)).any() and not ql.harm_ratio(np.ones(4), np.zeros(4)).any()
+
+
 def test_kth_largest_and_gumbel_frequencies(spark):
     values = [1.0] * 500 + [2.0] * 3 + [i / 7 for i in range(300)] + [1e9, -1e9]
     df = spark.createDataFrame([(v,) for v in values], "x double")
