@@ -1,7 +1,10 @@
 """License scans: TF-IDF cosine to templates, then directory inheritance.
 
-Units are the lines of every file (headers may stand anywhere in the text)
-and the whole text of licence files (by file name). Words are lower-cased
+Units are the lines of every file (headers may stand anywhere in the text),
+windows of ``WINDOWS`` consecutive lines with words (headers are wrapped; lines
+of more than ``WIDE`` characters are not, and end a window), and the whole text
+of licence files (by file name). Whole texts also meet the full licence texts
+(``FULL_TEXTS``). Words are lower-cased
 runs of letters and digits; ``idf = ln((N + 1) / (df + 1)) + 1`` over all
 lines of all files.
 
@@ -29,13 +32,15 @@ with an output column raises a ``ValueError``.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cwescope.llm.common import store
-from cwescope.llm.decontam import words
+from cwescope.llm.decontam import WORD_CHARS, words
 
 # fixed values: statements by which files name their licence
 TEMPLATES = (
@@ -54,6 +59,39 @@ TEMPLATES = (
             "software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General "
+        "Public License as published by the Free Software Foundation, either version {1} of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public "
+        "License along with this program.")
+_TEXTS = Path(__file__).parent / "licence_texts"
+_BSD, _MIT = ((_TEXTS / f"{name}.txt").read_text() for name in ("BSD-3-Clause", "MIT"))
+# whole headers, paragraphs and short licences
+TEMPLATES += (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+                   "writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT "
+                   "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+                   "language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", re.sub(r"(?s)3\. Neither.*?permission\.", "", _BSD)),
+    ("BSD-3-Clause", _BSD),
+    ("GPL-2.0", _GNU.format("", "2")),
+    ("GPL-3.0", _GNU.format("", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser ", "3")),
+    ("MIT", _MIT),
+    ("MIT", re.search("(?s)Permission is hereby.*?conditions:", _MIT)[0]),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+                "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+#: Texts of which common words are a large part: only whole texts meet them.
+FULL_TEXTS = tuple((name, (_TEXTS / f"{name}.txt").read_text()) for name in (
+    "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"))
+#: Lines of a window, in steps of at most half, and characters of a wrapped line.
+WINDOWS = (2, 3, 4, 6, 9, 13, 18, 26)
+WIDE = 160
 LICENCE_FILE = "(?i)^(license|licence|copying|notice|unlicense)([.-].*)?$"
 MIN_COSINE = 0.75
 OUTPUT = ("license", "cosine", "via", "from_dir")
@@ -94,7 +132,8 @@ def template_weights(counts: DataFrame, templates) -> tuple[int, dict[int, dict[
         norm = math.sqrt(sum(x * x for x in w.values()))
         weights[i] = {t: x / norm for t, x in w.items()}
         light = 0.0
-        for t, x in sorted(weights[i].items(), key=lambda p: (p[1], p[0])):
+        # words of many lines first: the heavy ones are then rare in the files
+        for t, x in sorted(weights[i].items(), key=lambda p: (-known.get(p[0], 0), p[1], p[0])):
             light += x * x
             if light >= (MIN_COSINE - 1e-9) ** 2:
                 heavy.add(t)
@@ -102,23 +141,50 @@ def template_weights(counts: DataFrame, templates) -> tuple[int, dict[int, dict[
 
 
 def _template_words(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
-def file_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+def windows(lines: Column, heavy: Column) -> Column:
+    """Windows of consecutive wrapped lines of which one has a word of
+    ``heavy``, each joined by blanks. Lines without words (an empty comment
+    line) are passed over."""
+    wordy = F.filter(lines, lambda x: x.rlike(WORD_CHARS))
+    rows = F.transform(wordy, lambda x: F.when(
+        F.char_length(x) <= WIDE, F.struct(x.alias("x"), F.arrays_overlap(unit_words(x), heavy).alias("h"))))
+
+    def of(rows: Column, size: int) -> Column:
+        n = F.size(rows)
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda i: F.exists(F.slice(rows, i, size), lambda r: r["h"])
+                          & ~F.exists(F.slice(rows, i, size), F.isnull))
+        return F.transform(starts, lambda i: F.array_join(F.transform(F.slice(rows, i, size), lambda r: r["x"]), " "))
+
+    # a variable of a lambda is computed once, an expression in it each time
+    return F.flatten(F.transform(F.array(rows), lambda r: F.concat(*(of(r, size) for size in WINDOWS))))
+
+
+def file_licences(files: DataFrame, templates=TEMPLATES, full_texts=FULL_TEXTS) -> DataFrame:
     """file (hash of path and text), template, cosine: the best template of
     each file that reaches ``MIN_COSINE`` in one of its units."""
     spark = files.sparkSession
     counts = store(line_counts(files), "license-df")
     n, weights, heavy = template_weights(counts, templates)
+    _, full, heavy_full = template_weights(counts, full_texts)
+    weights |= {len(templates) + i: w for i, w in full.items()}
     own = files.select(F.xxhash64("path", "text").alias("file"), "path", "text")
     name = F.regexp_extract("path", "[^/]*$", 0)
-    whole = F.when(name.rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = own.select("file", F.posexplode(F.concat(F.split("text", "\n", -1), whole)).alias("unit", "line"))
+    any_heavy = F.array(*map(F.lit, heavy))
+    lines = F.split("text", "\n", -1)
+    # windows only of texts with a heavy word
+    wrapped = F.when(F.arrays_overlap(unit_words(F.col("text")), any_heavy), windows(lines, any_heavy)) \
+        .otherwise(F.array().cast("array<string>"))
+    units = own.select("file", F.posexplode(F.concat(lines, wrapped)).alias("unit", "line"))
     units = units.select("file", "unit", unit_words(F.col("line")).alias("words"))
-    units = units.where(F.arrays_overlap("words", F.array(*map(F.lit, heavy))))
+    units = units.where(F.arrays_overlap("words", any_heavy))
+    whole = own.where(name.rlike(LICENCE_FILE)).select("file", F.lit(-1).alias("unit"),
+                                                       unit_words(F.col("text")).alias("words"))
+    units = units.unionByName(whole.where(
+        F.arrays_overlap("words", F.array(*map(F.lit, sorted({*heavy, *heavy_full}))))))
     parts = units.select("file", "unit", F.explode("words").alias("word")) \
         .groupBy("file", "unit", "word").agg(F.count("*").alias("tf"))
     parts = store(parts, "license-words")
@@ -130,7 +196,8 @@ def file_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     norms = parts.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = parts.join(table, "word").groupBy("file", "unit", "t").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 9)
-    names = F.array(*(F.lit(name) for name, _ in templates))
+    dots = dots.where((F.col("unit") < 0) | (F.col("t") < len(templates)))
+    names = F.array(*(F.lit(name) for name, _ in (*templates, *full_texts)))
     scored = dots.join(norms, ["file", "unit"]).select(
         "file", F.get(names, F.col("t")).alias("license"), cosine.alias("cosine"))
     best = F.min_by("license", F.struct(-F.col("cosine"), F.col("license")))

@@ -1,6 +1,7 @@
 """Cosines and inheritance against a direct computation."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -83,3 +84,37 @@ def test_names_and_empty_table(spark):
     df = df.withColumnRenamed("license", "word")
     assert lic.scan(df).columns == ["path", "text", "word", "license", "cosine", "via", "from_dir"]
     assert lic.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    import textwrap
+
+    texts = {name: (lic._TEXTS / f"{name}.txt").read_text() for name in
+             ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause", "MIT")}
+    heads = {"GPL-3.0": lic._GNU.format("", "3"), "GPL-2.0": lic._GNU.format("", "2"),
+             "BSD-3-Clause": texts["BSD-3-Clause"], "Apache-2.0": dict(lic.TEMPLATES)["Apache-2.0"],
+             "MPL-2.0": dict(lic.TEMPLATES)["MPL-2.0"]}
+    rng = random.Random(3)
+    prose = "the of and to in is for or that this any by with be not you work public general version terms".split()
+    prose += [f"word{i}" for i in range(300)]
+
+    def body(n):
+        return "\n".join(" ".join(rng.choices(prose, k=10)) for _ in range(n))
+
+    files, want = [], {}
+    for name, text in texts.items():
+        files += [(f"{name}/LICENSE", text), (f"{name}/src/a.c", body(5))]
+        want |= {f"{name}/LICENSE": (name, "file"), f"{name}/src/a.c": (name, "inherited")}
+    for name, head in heads.items():
+        for mark, width in (("# ", 75), (" * ", 60), ("", 100)):
+            path = f"x/{name}{width}.c"
+            lines = [mark + x for x in textwrap.wrap(" ".join(head.split()), width)]
+            files.append((path, "\n".join(["#!/bin/x", mark, *lines[:4], mark, *lines[4:], mark, body(30)])))
+            want[path] = (name, "header")
+    one = re.search("(?s)Permission is hereby.*?conditions:", texts["MIT"])[0]
+    files += [("x/mit.py", "# " + " ".join(one.split())), ("y/NOTICE", body(200)), ("y/z.c", body(40))]
+    want |= {"x/mit.py": ("MIT", "header"), "y/NOTICE": (None, "none"), "y/z.c": (None, "none")}
+    files += [(f"p/{i}", body(20)) for i in range(40)]
+    df = spark.createDataFrame(files, "path string, text string").repartition(4)
+    got = {r.path: (r.license, r.via) for r in lic.scan(df).collect() if r.path in want}
+    assert got == want
