@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cwescope.llm import decontam, licenses, lines, mixing, nearcopies, ngram_lm, pii, quality, substrings, topk
+from cwescope.llm import (codes, decontam, licenses, lines, mixing, nearcopies, ngram_lm, packing, pii, quality, spelling,
+                          substrings, topk)
 from cwescope.llm.common import read
 
 
@@ -50,6 +51,18 @@ def op10_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_report(read(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_report(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_substrings": op2_substrings,
@@ -61,10 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_nearcopies": op10_nearcopies,
+    "op11_codes": op11_codes,
+    "op12_packing": op12_packing,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_decontam": decontam.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op11_codes": codes.ORACLE,
 }
