@@ -27,7 +27,7 @@ from cwescope.sources.tables import table
 EMPTY = "[]::VARCHAR[]"
 
 
-# --- corpus A (JSON Lines with bad rows) ----------------------------------------
+# --- corpus A (JSON Lines and arrays in one folder, with bad rows) ----------------------------------------
 
 def _corpus_a_lines(spark, d):
     c = V.corpus(spark, d)
@@ -44,10 +44,26 @@ def _corpus_a_lines(spark, d):
             .when(F.col("id") % 17 == 0, no_func)
             .when(F.col("id") % 5 == 0, as_num).otherwise(as_str))
     path = IO.scratch(spark, "corpus-a")
-    c.select(line.alias("value")).write.text(path)
+    rows = c.select("id", line.alias("value"))
+    # one folder with both forms
+    rows.where(F.col("id") % 2 == 0).select("value").write.text(path)
+    _write_arrays(rows.where(F.col("id") % 2 == 1), "id", "value", path)
     return path
 
 
+#: Width of the range of ids in an array file: files grow in number, not in size.
+FILE_IDS = 1024
+
+
+def _write_arrays(rows, order, text, path, gap=",\n"):
+    """One array file per range of ``order``; names of files rise with it."""
+    part = F.lpad(F.floor(F.col(order) / FILE_IDS).cast("string"), 12, "0").alias("b")
+    lists = rows.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("x"))
+    body = F.array_join(F.transform("x", lambda s: s[text]), gap)
+    lists.select("b", F.concat(F.lit("["), body, F.lit("]")).alias("value")).write.mode("append") \
+        .partitionBy("b").text(path)
+
+
 A_SQL = V.with_views(f"""
 SELECT CAST(id AS VARCHAR) AS id, code, coalesce(cwe, {EMPTY}) AS cwe_ids, project,
   substr(md5(CAST(id AS VARCHAR)), 1, 12) AS commit_id, lang AS bug_info,
@@ -122,18 +138,13 @@ def _lookup_files(spark, d):
     c = V.corpus(spark, d)
     proj = F.when(F.col("id") % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("project"))
     root = IO.scratch(spark, "lookup")
-    arr = c.where(F.col("id") % 3 != 1).select(
-        (F.col("id") % 16).alias("b"), "id",
-        F.to_json(F.struct((F.col("id") % 400).cast("string").alias("hash"), "cwe",
-                           proj.alias("project"))).alias("j"))
-    # One array file per bucket: arrays are one record per file by format.
-    arr.groupBy("b").agg(F.concat(F.lit("["), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("id", "j"))), lambda s: s["j"]), ","), F.lit("]")).alias("value")) \
-        .write.partitionBy("b").text(root + "/arr")
+    arr = c.where(F.col("id") % 3 != 1).select("id", F.to_json(F.struct(
+        (F.col("id") % 400).cast("string").alias("hash"), "cwe", proj.alias("project"))).alias("j"))
+    _write_arrays(arr, "id", "j", root, gap=",")
     lines = c.where(F.col("id") % 3 == 1).select(F.when(F.col("id") % 7 == 0, F.lit("{broken json")).otherwise(
         F.to_json(F.struct(F.concat(F.lit("L"), F.col("id").cast("string")).alias("hash"), "cwe",
                            proj.alias("project")))).alias("value"))
-    lines.write.text(root + "/lines")
+    lines.write.mode("append").text(root)
     return root
 
 
@@ -145,8 +156,7 @@ UNION ALL
 SELECT 'L' || CAST(id AS VARCHAR), coalesce(cwe, {EMPTY}), CASE WHEN id % 4 = 0 THEN 'unknown' ELSE project END
 FROM corpus WHERE id % 3 = 1 AND id % 7 <> 0""", "corpus"))
 def q_src_array_or_lines(spark, d):
-    root = _lookup_files(spark, d)
-    return IO.read_lookup(spark, root + "/arr").unionByName(IO.read_lookup(spark, root + "/lines"))
+    return IO.read_lookup(spark, _lookup_files(spark, d))
 
 
 # --- scanner reports ------------------------------------------------------------
@@ -200,12 +210,10 @@ SELECT CAST(sample_id AS VARCHAR) AS key, 'src/' || {FILE_SQL} AS file, cwe FROM
 def q_src_scan_json(spark, d):
     lab = V.tool_labels(spark, d).where(F.col("tool") == "tool_c")
     per = lab.groupBy("sample_id").agg(F.collect_list("cwe").alias("cwe_classes"))
-    rec = per.select((F.col("sample_id") % 16).alias("b"), "sample_id", F.to_json(F.struct(
+    rec = per.select("sample_id", F.to_json(F.struct(
         F.concat(F.lit("src/"), _file_name(F.col("sample_id"))).alias("affected_file"), "cwe_classes")).alias("j"))
     path = IO.scratch(spark, "scan-json")
-    rec.groupBy("b").agg(F.concat(F.lit("[\n"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("sample_id", "j"))), lambda s: s["j"]), ",\n"), F.lit("\n]"))
-        .alias("value")).write.partitionBy("b").text(path)
+    _write_arrays(rec, "sample_id", "j", path)
     return IO.read_scan_json(spark, path)
 
 

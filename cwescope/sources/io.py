@@ -1,21 +1,19 @@
 """Readers and writers for corpora, scanner reports, code files, graphs,
 vocabularies, metric tables and the comparison report.
 
-Scale path: JSON Lines (splittable). A single JSON array is inherently one
-record per file; it is read whole-file and exploded, which bounds the work
-of one task by one file, never by the corpus.
+JSON files are split over tasks in every form (``json_records``): lines, one
+array, or objects over several lines, mixed freely in a folder.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cwescope.functions.labels import key_from_filename, key_from_url, parse_git_url, rule_to_cwe
-from cwescope.session import checkpoint_dir
+from cwescope.sources.json_records import CORRUPT, read_records, scratch
 
 # Every field is read as text, so one odd value does not spoil its record;
 # expressions convert it.
@@ -23,31 +21,16 @@ CORPUS_A_SCHEMA = ("func string, target string, cwe string, project string, comm
                    "hash string, size string, message string, _corrupt_record string")
 CORPUS_B_SCHEMA = ("func string, is_vul string, cve_id string, cwe_ids string, git_url string, "
                    "commit_msg string, file_path string, _corrupt_record string")
-LOOKUP_ELEM = "struct<hash:string,cwe:array<string>,project:string,_corrupt_record:string>"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never reused)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cwescope-io/{name}-{uuid.uuid4().hex}"
+LOOKUP_SCHEMA = "hash string, cwe array<string>, project string, _corrupt_record string"
+SCAN_SCHEMA = "affected_file string, cwe_classes array<string>, _corrupt_record string"
 
 
 # --- corpora ----------------------------------------------------------------------
 
-def is_array_file(spark: SparkSession, path: str) -> bool:
-    """Whether the first line of a file under ``path`` that is not blank opens
-    an array; a folder holds one form."""
-    head = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").limit(1).collect()
-    return bool(head) and head[0].v.startswith("[")
-
-
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON Lines files (split freely) or of files that hold one
-    JSON array each (any layout, one task per file); malformed rows keep
+    """Records of JSON files of any form; malformed rows keep
     _corrupt_record."""
-    reader = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
-    return reader.option("multiLine", is_array_file(spark, path)).json(path)
+    return read_records(spark, path, schema).select("record.*")
 
 
 def text_list(c: Column) -> Column:
@@ -112,41 +95,37 @@ def read_functions_git(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array, single object (either in any layout) or JSON Lines (unparsable lines dropped) ->
-    lookup (hash, cwes, project default 'unknown'); for a duplicate hash the
-    last record wins. One task per file (file order decides 'last')."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("_f"), F.trim("value").alias("v"))
-    first = F.substring("v", 1, 1)
-    opts = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    arr = F.from_json("v", f"array<{LOOKUP_ELEM}>", opts)
-    one = F.from_json("v", LOOKUP_ELEM, opts)
-    lines = F.transform(F.filter(F.split("v", "\n"), lambda s: F.trim(s) != ""),
-                        lambda s: F.from_json(F.trim(s), LOOKUP_ELEM, opts))
-    # between two objects of one JSON value there is a comma, between two lines none
-    several = F.col("v").rlike(r"\}[ \t\r]*\n\s*\{") | one["_corrupt_record"].isNotNull()
-    recs = F.when(first == "[", arr).when((first == "{") & ~several, F.array(one)).otherwise(lines)
-    e = whole.select("_f", F.posexplode(recs).alias("_pos", "r")) \
-        .where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull())
-    e = e.select("_f", "_pos", F.coalesce("r.hash", F.lit("")).alias("hash"),
-                 F.coalesce("r.cwe", F.array().cast("array<string>")).alias("cwes"),
-                 F.coalesce("r.project", F.lit("unknown")).alias("project"))
-    return e.groupBy("hash").agg(F.max_by(F.struct("cwes", "project"), F.struct("_f", "_pos")).alias("x")) \
+    """JSON arrays, single objects (either in any layout) or JSON Lines
+    (what does not parse is dropped) -> lookup (hash, cwes, project default
+    'unknown'); for a duplicate hash the last record wins, by file and place."""
+    r = read_records(spark, path, LOOKUP_SCHEMA).where(F.col("record." + CORRUPT).isNull())
+    e = r.select("file", "pos", F.coalesce("record.hash", F.lit("")).alias("hash"),
+                 F.coalesce("record.cwe", F.array().cast("array<string>")).alias("cwes"),
+                 F.coalesce("record.project", F.lit("unknown")).alias("project"))
+    return e.groupBy("hash").agg(F.max_by(F.struct("cwes", "project"), F.struct("file", "pos")).alias("x")) \
         .select("hash", "x.cwes", "x.project")
 
 
 # --- scanner reports ------------------------------------------------------------
 
-def read_scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scanner CSV -> (file, cwe) findings (rows without a file are skipped)."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+
+
+def read_scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Scanner CSV -> (file, cwe) findings (rows without a file are skipped).
+    ``multi_line`` admits line breaks inside quotes, at one task per file;
+    without it files are split."""
+    df = _read_csv(spark, path, multi_line)
     return df.select(F.col("File").alias("file"), F.col("`Classification ID`").alias("cwe")) \
         .where(F.col("file").isNotNull() & (F.col("file") != ""))
 
 
-def read_rule_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rule CSV -> (key, rule, cwe): key from the result URL, CWE from the rule."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_rule_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Rule CSV -> (key, rule, cwe): key from the result URL, CWE from the rule.
+    URLs and rules have no line breaks, so files are split unless
+    ``multi_line`` is set."""
+    df = _read_csv(spark, path, multi_line)
     url = F.coalesce(F.col("`Line Of Code Url`"), F.lit(""))
     rule = F.coalesce(F.col("`Rule Name`"), F.lit(""))
     return df.select(key_from_filename(key_from_url(url)).alias("key"), rule.alias("rule"),
@@ -155,8 +134,7 @@ def read_rule_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scan_json(spark: SparkSession, path: str) -> DataFrame:
     """Scanner JSON array [{affected_file, cwe_classes[]}] -> (key, file, cwe)."""
-    df = spark.read.option("multiLine", True).schema(
-        "affected_file string, cwe_classes array<string>").json(path)
+    df = read_json_records(spark, path, SCAN_SCHEMA).where(F.col(CORRUPT).isNull())
     return df.select(key_from_filename(F.col("affected_file")).alias("key"),
                      F.col("affected_file").alias("file"),
                      F.explode_outer("cwe_classes").alias("cwe"))
