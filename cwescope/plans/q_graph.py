@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cwescope.functions import code as CF
 from cwescope.operators import graph as G
+from cwescope.operators import parse as PA
 from cwescope.operators import propagate as P
 from cwescope.operators import reach as R
 from cwescope.operators.corpus import hash32
@@ -159,6 +160,21 @@ def q_tree_nodes(spark, d):
     return _nodes(spark, d, text=True).select(*[c.strip() for c in NODE_COLS.split(",")])
 
 
+@register("tree_nodes_parsed", _sql(f"SELECT {NODE_SQL_COLS} FROM tn"))
+def q_tree_nodes_parsed(spark, d):
+    """The same table through the parser slot."""
+    return PA.parse_nodes(_texts(spark, d), PA.bracket_parser).select(*[c.strip() for c in NODE_COLS.split(",")])
+
+
+@register("node_faults", _sql("SELECT graph_id, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS node_id FROM tn "
+                              "WHERE node_id < 0"))
+def q_node_faults(spark, d):
+    """Graphs of both builders that break the contract: none."""
+    t = materialize(_texts(spark, d))
+    windows = G.with_group_text(G.tree_nodes(t), t)
+    return PA.node_faults(windows, t).unionByName(PA.node_faults(PA.parse_nodes(t, PA.bracket_parser), t))
+
+
 @register("tree_structure", _sql("""
 SELECT graph_id, CAST(node_id AS BIGINT) AS node_id, CAST(parent AS BIGINT) AS parent, CAST(depth AS INTEGER) AS depth,
   sibling, child_count FROM tn"""))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cwescope.operators import codemetrics as CM
+from cwescope.operators import encode as EN
 from cwescope.operators import graph as G
 from cwescope.operators import labelsets as L
 from cwescope.operators import learn as LN
 from cwescope.operators import metrics as M
+from cwescope.operators import nlp as NF
 from cwescope.operators import propagate as P
 from cwescope.operators import reach as R
 from cwescope.operators import vectors as VE
@@ -25,13 +27,66 @@ def _emb(spark, d):
     return table(spark, d, "embeddings")
 
 
-@register("embed_corpus")
+# --- token and text vectors -----------------------------------------------------
+
+def _digits_sql(h: str, dim: int = EN.DIM) -> str:
+    return f"list_transform(range(1, {dim + 1}), lambda i: CAST(instr('{EN.HEX}', substr({h}, i, 1)) AS DOUBLE) - 8.5)"
+
+
+def _tokens_sql(source: str, key: str, text: str) -> str:
+    """key, pos, vec of the built-in encoder over a relation."""
+    return f"""
+SELECT {key}, CAST(pos AS INTEGER) AS pos, {_digits_sql("md5(token)")} AS vec
+FROM (SELECT {key}, unnest(w) AS token, unnest(range(0, len(w))) AS pos
+      FROM (SELECT {key}, list_slice(regexp_extract_all(lower({text}), '{EN.TOKEN}'), 1, {EN.MAX_TOKENS}) AS w
+            FROM {source}) a) b"""
+
+
+def _mean_sql(source: str, key: str, name: str = "vec") -> str:
+    """key, mean vector over a relation of (key, vec)."""
+    return f"""
+SELECT {key}, list(m ORDER BY i) AS {name}
+FROM (SELECT {key}, i, avg(vec[i]) AS m FROM {source}, range(1, {EN.DIM + 1}) r(i) GROUP BY {key}, i) a
+GROUP BY {key}"""
+
+
+def _variance_sql(source: str, key: str) -> str:
+    return f"""
+SELECT {key}, avg(sd) AS semantic_variance
+FROM (SELECT {key}, i, stddev_pop(vec[i]) AS sd FROM {source}, range(1, {EN.DIM + 1}) r(i) GROUP BY {key}, i) a
+GROUP BY {key}"""
+
+
+@register("token_embeddings", _tokens_sql("documents", "doc_id", "text"))
+def q_token_embeddings(spark, d):
+    return EN.token_embeddings(table(spark, d, "documents"), "doc_id", "text")
+
+
+@register("token_variance", _variance_sql(f"({_tokens_sql('documents', 'doc_id', 'text')}) t", "doc_id"),
+          rnd=("semantic_variance",))
+def q_token_variance(spark, d):
+    return EN.token_variance(EN.token_embeddings(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+@register("text_vectors", _mean_sql(f"({_tokens_sql('documents', 'doc_id', 'text')}) t", "doc_id"))
+def q_text_vectors(spark, d):
+    return EN.text_vectors(EN.token_embeddings(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+@register("embed_corpus", f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{EN.TOKEN}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS term FROM w
+      UNION ALL
+      SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) x),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, {EN.BUCKET_DIGITS}) AS INTEGER) AS bucket,
+             CAST(count(*) AS DOUBLE) AS n
+      FROM t GROUP BY doc_id, bucket),
+v AS (SELECT doc_id, list(bucket ORDER BY bucket) AS indices, list(n ORDER BY bucket) AS ns,
+             sqrt(sum(n * n)) AS length FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(v.indices, []) AS indices, coalesce(list_transform(v.ns, lambda n: n / v.length), []) AS weights
+FROM documents d LEFT JOIN v USING (doc_id)""")
 def q_embed_corpus(spark, d):
-    doc = table(spark, d, "documents")
-    e = VE.embed_corpus(doc, "doc_id", "text")
-    # Row check: one vector per document, unit norm (or zero for empty text).
-    return e.select("doc_id", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
-                    F.size("vec").alias("dim"))
+    return EN.hashed_ngrams(table(spark, d, "documents"), "doc_id", "text")
 
 
 CLONE_SQL = f"""
@@ -144,35 +199,75 @@ def q_graph_score(spark, d):
     return s.select("sample_id", "t.cls", "t.p", (F.col("t.p") >= 0.5).cast("int").alias("yhat"))
 
 
+# --- features per function ------------------------------------------------------
+
+#: Every function whose number this divides plays a known vulnerable one.
+KNOWN_STEP = 97
+
+FN_VEC_CTES = {
+    "fn_tokens": _tokens_sql("fn_code", "fn", "code"),
+    "fn_vec": _mean_sql("fn_tokens", "fn"),
+    "fn_var": _variance_sql("fn_tokens", "fn"),
+    "calls": f"SELECT fn, line_no, api, context, fn || '/' || line_no || '/' || api AS call FROM ({APICTX_SQL}) x",
+    "call_vec": _mean_sql(f"({_tokens_sql('calls', 'call', 'context')}) t", "call"),
+    "fn_ctx": _mean_sql("(SELECT c.fn, v.vec FROM calls c JOIN call_vec v USING (call))", "fn", "context_vec"),
+}
+FN_VEC_DEPS = {"fn_tokens": ("fn_code",), "fn_vec": ("fn_tokens",), "fn_var": ("fn_tokens",),
+               "calls": ("code_lines",), "call_vec": ("calls",), "fn_ctx": ("calls", "call_vec")}
+NO_VEC = f"list_transform(range({EN.DIM}), lambda i: CAST(0 AS DOUBLE))"
+
+
+@register("api_risk_vectors", V.with_views(f"""
+SELECT f.fn, coalesce(r.api_risk, 0.0) AS api_risk, CAST(coalesce(r.api_calls, 0) AS BIGINT) AS api_calls,
+       coalesce(c.context_vec, {NO_VEC}) AS context_vec
+FROM (SELECT DISTINCT fn FROM code_lines) f
+LEFT JOIN (SELECT fn, avg(CAST(risk AS DOUBLE)) AS api_risk, count(*) AS api_calls FROM ({APICTX_SQL}) x GROUP BY fn) r
+  ON r.fn = f.fn
+LEFT JOIN fn_ctx c ON c.fn = f.fn""", "code_lines", "fn_ctx", extra=FN_VEC_CTES, extra_deps=FN_VEC_DEPS),
+          rnd=("api_risk",))
+def q_api_risk_vectors(spark, d):
+    cl = V.code_lines(spark, d)
+    return CM.api_risk_vectors(cl, cl.select("fn").distinct())
+
+
 def _nlp_sql() -> str:
     base = QG._uaf_sql()
     marker = "\nSELECT v.graph_id, v.var, h.dmin IS NOT NULL"
     head, final = base.split(marker, 1)
     final = marker.lstrip("\n") + final
+    own = ",\n".join(f"{k} AS ({v.strip()})" for k, v in FN_VEC_CTES.items())
     return head + f""",
 uaf AS ({final}),
 fn_code AS ({V.VIEW_SQL["fn_code"].strip()}),
+{own},
 cm AS (SELECT fn, CAST({CYC_SQL} AS INTEGER) AS cyclomatic, CAST(len(string_split(code, chr(10))) AS INTEGER) AS loc
        FROM fn_code),
 ar AS (SELECT f.fn, coalesce(r.api_risk, 0.0) AS api_risk FROM (SELECT DISTINCT fn FROM code_lines) f
        LEFT JOIN (SELECT fn, avg(CAST(risk AS DOUBLE)) AS api_risk FROM ({APICTX_SQL}) x GROUP BY fn) r ON r.fn = f.fn),
+sim AS (SELECT t.fn, max(list_cosine_similarity(t.vec, k.vec)) AS similarity
+        FROM fn_vec t CROSS JOIN (SELECT vec FROM fn_vec WHERE fn % {KNOWN_STEP} = 0) k GROUP BY t.fn),
 tt AS ({QG.TAINT_BODY.strip()})
-SELECT u.graph_id AS fn, u.var, ar.api_risk, cm.cyclomatic, cm.loc, u.detected, u.score, tt.taint
+SELECT u.graph_id AS fn, u.var, coalesce(fv.vec, {NO_VEC}) AS vec, ar.api_risk, coalesce(fx.context_vec, {NO_VEC}) AS context_vec,
+       coalesce(sim.similarity, 0.0) AS similarity, cm.cyclomatic,
+       coalesce(sv.semantic_variance, 0.0) AS semantic_variance, cm.loc,
+       u.detected, u.score, tt.taint
 FROM uaf u JOIN tt ON tt.graph_id = u.graph_id AND tt.var = u.var
-JOIN cm ON cm.fn = u.graph_id JOIN ar ON ar.fn = u.graph_id"""
+JOIN cm ON cm.fn = u.graph_id JOIN ar ON ar.fn = u.graph_id
+LEFT JOIN fn_vec fv ON fv.fn = u.graph_id LEFT JOIN fn_var sv ON sv.fn = u.graph_id
+LEFT JOIN fn_ctx fx ON fx.fn = u.graph_id LEFT JOIN sim ON sim.fn = u.graph_id"""
 
 
-@register("nlp_features", _nlp_sql(), rnd=("api_risk", "score"))
+@register("nlp_features", _nlp_sql(), rnd=("api_risk", "similarity", "semantic_variance", "score"))
 def q_nlp_features(spark, d):
     cl = V.code_lines(spark, d)
     fc = V.join_lines(cl)
-    metrics = CM.code_metrics(fc).select("fn", "cyclomatic", "loc")
-    risk = CM.api_risk(cl, fc.select("fn"))
+    features = NF.function_features(cl, fc, known=lambda f: f.where(F.col("fn") % KNOWN_STEP == 0))
     nodes, edges, vars_ = QG._cfg(spark, d)
     uaf = R.reach_uaf(nodes, edges, vars_).withColumnRenamed("graph_id", "fn")
     taint = R.taint_source(nodes, vars_).withColumnRenamed("graph_id", "fn")
-    return (uaf.join(taint, ["fn", "var"]).join(metrics, "fn").join(risk, "fn")
-            .select("fn", "var", "api_risk", "cyclomatic", "loc", "detected", "score", "taint"))
+    return (uaf.join(taint, ["fn", "var"]).join(features, "fn")
+            .select("fn", "var", "vec", "api_risk", "context_vec", "similarity", "cyclomatic", "semantic_variance",
+                    "loc", "detected", "score", "taint"))
 
 
 @register("compare_tools_long", _cmp_sql(
