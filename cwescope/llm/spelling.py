@@ -195,8 +195,10 @@ def near_words(vocab: DataFrame, head: int = HEAD, tail: int = TAIL) -> DataFram
                       F.transform(rest, lambda b: place(F.col("own"), b, 1)),
                       F.transform(rest, lambda b: place(b, F.col("own"), 2)))
     groups = dealt.withColumn("own", own).select("head", "shard", "word", "n", F.explode(places).alias("place"))
+    # few bytes and much work: as many tasks as shards, not as the bytes would ask for
+    group = ["head", "shard", "index", "query"]
     found = (groups.select("head", "shard", "place.index", "place.query", "place.side", "word", "n")
-             .groupBy("head", "shard", "index", "query").applyInArrow(_near_in_group(head), NEAR))
+             .repartition(2 * shards, *group).groupBy(*group).applyInArrow(_near_in_group(head), NEAR))
     best = F.min(F.struct((-F.col("best_n")).alias("k"), "best"))
     return (found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b"))
             .select("word", "n_near", F.col("b.best").alias("best"), (-F.col("b.k")).alias("best_n")))
