@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cwescope.llm.common import store
@@ -20,6 +20,8 @@ from cwescope.llm.common import store
 #: Edges per file of the stored tables: few edges take few files and tasks,
 #: whatever the number of shuffle partitions.
 FILE_EDGES = 500_000
+#: Up to so many centres, 24 bytes each, are broadcast to their buckets.
+BROADCAST_ROWS = 1_000_000
 
 
 def _least(edges: DataFrame, files: int) -> DataFrame:
@@ -56,36 +58,51 @@ def components(edges: DataFrame) -> DataFrame:
                  .coalesce(files), "cc-roots")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, few: int = 1) -> DataFrame:
+def _centres(large: DataFrame, step: int, n: int) -> DataFrame:
+    """The ``n`` least members of each bucket by a hash of the round, which are
+    mostly the same nodes in all buckets of a group."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(step)), "node")
+    first = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return store(first.select("bucket", F.col("node").alias("other"), F.col("root").alias("to")), "link-centres")
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = 1,
+           split: Callable[[DataFrame], DataFrame] | None = None, split_after: int = 3) -> DataFrame:
     """node, root: components of the similar pairs among nodes that share a
     bucket (``members``: bucket, node).
 
-    ``verify`` takes distinct pairs (a < b) and returns (a, b, similar). In a
-    bucket with at most ``few`` open pairs per member all of them are
-    verified. In a larger one each member is verified against a centre, the
-    least by a hash of the round, which is mostly the same node in all buckets
-    of a group. A pair is open while its ends are not connected; what is open
-    after ``rounds`` is verified pair by pair. So no link is lost, and a large
-    group does not emit all its pairs."""
+    ``verify`` takes distinct pairs (a < b) and returns (a, b, similar). A pair
+    is open while its ends are not connected; only open pairs are verified. In a
+    bucket with at most ``few`` open pairs per member all of them are. In a
+    larger one each member meets some centres, one in the first round and twice
+    as many in each round that follows: a group whose members are mostly similar
+    is connected after a few members' worth of checks, and the few pairs that
+    stay open between it and single members cost a row each, not a square.
+
+    Buckets that are still open after ``split_after`` rounds are given to
+    ``split``: it returns smaller buckets (bucket, node) that hold every pair
+    worth a check, where rounds start again with one centre. Without ``split``,
+    and in split buckets, rounds go on until no pair is open or every pair of the
+    bucket has been verified; so no candidate is lost."""
     links = tried = roots = None
-    for step in range(rounds + 1):
+    step, centres = 0, 1
+    while True:
         here = members.withColumn("root", F.col("node")) if roots is None else (
             members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         here = store(here.select("bucket", "node", "root"), "link-here")
         per = here.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(
             F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inner"))
         pairs = (F.col("n") * F.col("n") - F.col("inner")) / 2
-        per = store(per.where(pairs > 0).select(
-            "bucket", ((pairs <= few * F.col("n")) | F.lit(step == rounds)).alias("few")), "link-open")
+        per = store(per.where(pairs > 0).select("bucket", "n", (pairs <= few * F.col("n")).alias("few")), "link-open")
         here = here.join(per, "bucket")
         small = here.where("few").select("bucket", "node", "root")
         asked = (small.join(small.select("bucket", F.col("node").alias("other"), F.col("root").alias("to")), "bucket")
                  .where((F.col("node") < F.col("other")) & (F.col("root") != F.col("to")))
                  .select(F.col("node").alias("a"), F.col("other").alias("b")))
         large = here.where(~F.col("few"))
-        centre = store(large.groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("c"))
-            .select("bucket", F.col("c.node").alias("other"), F.col("c.root").alias("to")), "link-centres")
+        centre = _centres(large, step, centres)
+        if centre.count() <= BROADCAST_ROWS:
+            centre = F.broadcast(centre)
         star = (large.join(centre, "bucket").where(F.col("root") != F.col("to"))
                 .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
         asked = asked.unionByName(star).distinct()
@@ -97,11 +114,16 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds:
             now, all_ = found.where("similar").select("a", "b"), asked.select("a", "b")
             links = now if links is None else links.unionByName(now)
             tried = all_ if tried is None else tried.unionByName(all_)
-            roots = components(links)
+            if not now.isEmpty():
+                roots = components(links)
         # what was verified pair by pair is settled
-        members = store(members.join(per.where(~F.col("few")).select("bucket"), "bucket"), "link-members")
+        left = per.where(~F.col("few") & (F.col("n") > centres)).select("bucket")
+        members = store(members.join(left, "bucket"), "link-members")
         if members.isEmpty():
             break
+        step, centres = step + 1, centres * 2
+        if step == split_after and split is not None:
+            members, centres = store(split(members), "link-split"), 1
     if roots is None:
         return members.select("node", F.col("node").alias("root")).limit(0)
     return roots

@@ -21,7 +21,10 @@ the connected groups.
 4. Verification compares the full multisets of shingles.
 
 With 20 bands of 5 registers a pair at similarity 0.8 becomes a candidate
-with probability 0.9996.
+with probability 0.9996. A bucket that stays open after ``STAR_ROUNDS`` rounds
+holds many members that are not similar; there a pair must share a second band,
+which a pair at similarity 0.8 does with probability 0.996, one at 0.85 with
+0.9998.
 
 Documents without words (null, empty) are alone in their class. Rows that
 repeat an id have their own nodes, and the class id is the smallest id of the
@@ -46,6 +49,7 @@ ship(__name__)
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: Rounds of centres after which a bucket is split by a second band.
 STAR_ROUNDS = 4
 #: Open pairs per member up to which a bucket is verified pair by pair.
 FEW = 4
@@ -246,7 +250,15 @@ def classes(docs: DataFrame, least: float = MIN_SIMILARITY, bands: int = BANDS,
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
         return both.mapInArrow(_verify(least), "a long, b long, similar boolean")
 
-    roots = linked(members, verify, STAR_ROUNDS, FEW)
+    def split(crowded: DataFrame) -> DataFrame:
+        """Buckets of two bands: members that share one more."""
+        other = members.select("node", F.col("bucket").alias("other"))
+        both = crowded.join(other, "node").where(F.col("bucket") != F.col("other")).select(
+            F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node").distinct()
+        shared = both.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        return both.join(shared, "bucket")
+
+    roots = linked(members, verify, FEW, split, STAR_ROUNDS)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = store(named.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("f")), "near-classes")
     named = store(named.join(first, "root").select(
@@ -267,9 +279,11 @@ def near_report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; rows
     that repeat that id and text stay once. Documents without words all stay."""
-    stay = store(classes(docs).where("kept").select(
-        F.col("row").alias("_row"), (F.col("n_shingles") > 0).alias("_worded")).distinct(), "near-stay")
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    kept = rows.join(stay, "_row")
-    return (kept.where("_worded").dropDuplicates(["_row"])
-            .unionByName(kept.where(~F.col("_worded"))).select(*docs.columns))
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    stay = store(classes(docs).where("kept").select("row", (F.col("n_shingles") > 0).alias("worded")).distinct(),
+                 "near-stay")
+    # the table's own columns are one struct here, so no name can clash
+    rows = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = rows.join(stay, "row")
+    return (kept.where("worded").dropDuplicates(["row"])
+            .unionByName(kept.where(~F.col("worded"))).select("doc.*"))
