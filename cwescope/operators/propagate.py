@@ -12,9 +12,13 @@ the edges. ``long_form`` gives the (graph_id, node_id, dim, x) layout.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cwescope.session import materialize
+
 SCALAR_FEATURES = ["f0", "f1", "f2", "f3"]
 
 
@@ -136,3 +140,81 @@ def graph_pool_wide(x: DataFrame, cols: list[str] = SCALAR_FEATURES) -> DataFram
     """Per graph: mean / max / sum of every feature column (one row per graph)."""
     return x.groupBy("graph_id").agg(*[f(c).alias(f"{n}_{c}") for c in cols
                                        for n, f in (("mean", F.avg), ("max", F.max), ("sum", F.sum))])
+
+
+# --- several attention heads -------------------------------------------------------
+
+@dataclass(frozen=True)
+class Head:
+    """Weights of one attention head: ``weight[i][j]`` takes input i to output
+    j; ``a_src`` and ``a_dst`` score the outputs of an edge's ends."""
+    weight: list[list[float]]
+    a_src: list[float]
+    a_dst: list[float]
+
+
+def linear(cols: list[str], weight: list[list[float]], bias: list[float] | None = None) -> list[Column]:
+    """x W + b as plain column expressions (``weight[i][j]``: input i, output j)."""
+    if len(weight) != len(cols):
+        raise ValueError(f"{len(cols)} columns, weights for {len(weight)}")
+    out = []
+    for j in range(len(weight[0])):
+        terms = [F.col(c) * F.lit(float(weight[i][j])) for i, c in enumerate(cols)]
+        out.append(sum(terms[1:], terms[0]) + F.lit(float(bias[j])) if bias else sum(terms[1:], terms[0]))
+    return out
+
+
+def elu(x: Column) -> Column:
+    return F.when(x > 0, x).otherwise(F.expm1(x))
+
+
+def _leaky(x: Column, slope: float) -> Column:
+    return F.when(x >= 0, x).otherwise(x * slope)
+
+
+def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str] = SCALAR_FEATURES,
+              concat: bool = True, activate: bool = False, slope: float = GAT_SLOPE) -> DataFrame:
+    """Multi-head attention: per head, z = x W, score(u -> v) =
+    LeakyReLU(a_src . z_u + a_dst . z_v), softmax over v's in-edges and itself,
+    sum of z_u by weight. The heads' outputs stand side by side (``concat``) or
+    are averaged; ``activate`` applies ELU. Output columns f0, f1, ...
+
+    Softmax is shifted by the largest score. LeakyReLU rises, so that is the
+    score of the largest a_src . z_u: one aggregate of the edges with one number
+    per head, instead of a sort of all edges. A second aggregate sums weights
+    and weighted outputs of all heads at once. A node's own share is added on
+    the node side. All steps are keyed by graph."""
+    width = len(heads[0].weight[0])
+    zs = [[f"_z{k}_{j}" for j in range(width)] for k in range(len(heads))]
+    z = x.select("graph_id", "node_id", *[e.alias(n) for h, names in zip(heads, zs)
+                                          for e, n in zip(linear(cols, h.weight), names)])
+    flat = [n for names in zs for n in names]
+    ks = range(len(heads))
+    z = materialize(z.select(
+        "graph_id", "node_id", *flat, *[_dot(zs[k], heads[k].a_src).alias(f"_s{k}") for k in ks],
+        *[_dot(zs[k], heads[k].a_dst).alias(f"_d{k}") for k in ks]))
+    e = _between(edges)
+    top = e.join(_src(z, [f"_s{k}" for k in ks]), ["graph_id", "src"]).groupBy(
+        "graph_id", F.col("dst").alias("node_id")).agg(*[F.max(f"_s{k}").alias(f"_t{k}") for k in ks])
+    shift = [_leaky(F.greatest(f"_s{k}", F.col(f"_t{k}")) + F.col(f"_d{k}"), slope).alias(f"_m{k}") for k in ks]
+    node = materialize(z.join(top, ["graph_id", "node_id"], "left").select(
+        "graph_id", "node_id", *flat, *[f"_s{k}" for k in ks], *[f"_d{k}" for k in ks], *shift))
+    ends = node.select("graph_id", F.col("node_id").alias("dst"), *[f"_d{k}" for k in ks], *[f"_m{k}" for k in ks])
+
+    def weight(k: int) -> Column:
+        return F.exp(_leaky(F.col(f"_s{k}") + F.col(f"_d{k}"), slope) - F.col(f"_m{k}"))
+
+    met = e.join(_src(z, [*flat, *[f"_s{k}" for k in ks]]), ["graph_id", "src"]).join(ends, ["graph_id", "dst"])
+    met = met.select("graph_id", "dst", *flat, *[weight(k).alias(f"_e{k}") for k in ks])
+    sums = met.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        *[F.sum(f"_e{k}").alias(f"_w{k}") for k in ks],
+        *[F.sum(F.col(f"_e{k}") * F.col(n)).alias(f"_n{n}") for k in ks for n in zs[k]])
+    j = node.join(sums, ["graph_id", "node_id"], "left")
+    none = F.lit(0.0)
+    outs = [[(weight(k) * F.col(n) + F.coalesce(f"_n{n}", none)) / (weight(k) + F.coalesce(f"_w{k}", none))
+             for n in zs[k]] for k in ks]
+    if concat:
+        out = [o for per_head in outs for o in per_head]
+    else:
+        out = [sum(same[1:], same[0]) / len(heads) for same in (list(t) for t in zip(*outs))]
+    return j.select("graph_id", "node_id", *[(elu(o) if activate else o).alias(f"f{i}") for i, o in enumerate(out)])

@@ -505,6 +505,65 @@ def q_gat_propagate(spark, d):
     return P.long_form(P.gat_propagate(n, e, x))
 
 
+# Fixed weights of the checks, by a rule (no training).
+def weights(seed: int, n_in: int, n_out: int) -> list[list[float]]:
+    return [[((seed * 7 + i * 5 + j * 3) % 11 - 5) / 5.0 for j in range(n_out)] for i in range(n_in)]
+
+
+def numbers(seed: int, n: int, low: float = -0.5, step: float = 0.1) -> list[float]:
+    return [low + step * ((seed * 5 + j * 3) % 11) for j in range(n)]
+
+
+GAT_HEADS = [P.Head(weights(k, 4, 2), numbers(k, 2), numbers(k + 3, 2)) for k in range(2)]
+PW_SQL = "SELECT graph_id, node_id, " + ", ".join(
+    f"max(CASE WHEN dim = {i} THEN x END) AS f{i}" for i in range(4)) + " FROM px GROUP BY graph_id, node_id"
+
+
+def linear_sql(cols: list[str], weight: list[list[float]], bias: list[float] | None = None) -> list[str]:
+    return [" + ".join([f"{c} * CAST({weight[i][j]!r} AS DOUBLE)" for i, c in enumerate(cols)]
+                       + ([f"CAST({bias[j]!r} AS DOUBLE)"] if bias else [])) for j in range(len(weight[0]))]
+
+
+def _gat_heads_sql(concat: bool) -> str:
+    ks, js = range(len(GAT_HEADS)), range(2)
+    z = [f"{e} AS z{k}{j}" for k in ks for j, e in enumerate(linear_sql(["f0", "f1", "f2", "f3"], GAT_HEADS[k].weight))]
+    dots = [f"{linear_sql([f'z{k}{j}' for j in js], [[v] for v in a])[0]} AS {n}{k}" for k in ks
+            for n, a in (("ps", GAT_HEADS[k].a_src), ("pd", GAT_HEADS[k].a_dst))]
+    raw = [f"s.ps{k} + t.pd{k}" for k in ks]
+    scores = [f"CASE WHEN {r} >= 0 THEN {r} ELSE ({r}) * CAST({P.GAT_SLOPE} AS DOUBLE) END AS s{k}"
+              for k, r in zip(ks, raw)]
+    zs = ", ".join(f"s.z{k}{j}" for k in ks for j in js)
+    ex = [f"exp(s{k} - max(s{k}) OVER (PARTITION BY graph_id, dst)) AS e{k}" for k in ks]
+    out = [[f"sum(e{k} * z{k}{j}) / sum(e{k})" for j in js] for k in ks]
+    if concat:
+        flat = [o for per in out for o in per]
+        flat = [f"CASE WHEN {o} > 0 THEN {o} ELSE exp({o}) - 1 END" for o in flat]
+    else:
+        flat = [f"({out[0][j]} + {out[1][j]}) / 2" for j in js]
+    return f"""
+SELECT graph_id, node_id, {', '.join(f'o{i} AS f{i}' for i in range(len(flat)))} FROM (
+  SELECT graph_id, CAST(dst AS BIGINT) AS node_id, {', '.join(f'{o} AS o{i}' for i, o in enumerate(flat))} FROM (
+    SELECT *, {', '.join(ex)} FROM (
+      SELECT e.graph_id, e.dst, {zs}, {', '.join(scores)}
+      FROM pe e JOIN zz s ON s.graph_id = e.graph_id AND s.node_id = e.src
+      JOIN zz t ON t.graph_id = e.graph_id AND t.node_id = e.dst) a) b
+  GROUP BY graph_id, dst) c""".replace("zz", f"(SELECT *, {', '.join(dots)} FROM (SELECT *, {', '.join(z)} FROM ({PW_SQL}) w) q)")
+
+
+@register("gat_propagate_heads", _psql(_gat_heads_sql(True), "px", "pe"), rnd=("f0", "f1", "f2", "f3"))
+def q_gat_propagate_heads(spark, d):
+    """Two heads side by side, ELU."""
+    _, e, x = _px(spark, d)
+    return P.gat_heads(e, x, GAT_HEADS, activate=True)
+
+
+@register("gat_propagate_mean", _psql(_gat_heads_sql(False), "px", "pe"), rnd=("f0", "f1"))
+def q_gat_propagate_mean(spark, d):
+    """Two heads averaged, as in a last layer."""
+    _, e, x = _px(spark, d)
+    return P.gat_heads(e, x, GAT_HEADS, concat=False)
+
+
 @register("graph_pool", _psql("""
 SELECT graph_id, dim, avg(x) AS mean, max(x) AS max, sum(x) AS sum FROM px GROUP BY graph_id, dim""", "px"),
     rnd=("mean", "max", "sum"))

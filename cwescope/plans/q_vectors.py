@@ -13,6 +13,7 @@ from cwescope.operators import metrics as M
 from cwescope.operators import nlp as NF
 from cwescope.operators import propagate as P
 from cwescope.operators import reach as R
+from cwescope.operators import score as SC
 from cwescope.operators import vectors as VE
 from cwescope.operators.corpus import hash32
 from cwescope.plans import q_graph as QG
@@ -156,47 +157,63 @@ def q_graph_assemble(spark, d):
                     multi_hot(F.col("cwes"), classes).alias("y"))
 
 
-# Fixed head of the scoring check: weights from a rule (no training).
-def _head_w(c: int, j: int) -> float:
-    return ((c * 7 + j * 3) % 11 - 5) / 5.0
+# Fixed weights of the scoring check, by a rule (no training).
+def _norm(seed: int, n: int) -> SC.BatchNorm:
+    w = QG.numbers
+    return SC.BatchNorm(w(seed, n), w(seed + 1, n, 0.5), w(seed + 2, n, 0.5), w(seed + 3, n))
 
 
-def _head_b(c: int) -> float:
-    return ((c * 5) % 7 - 3) / 10.0
+CLASSES = 9
+LAYERS = [SC.Layer(QG.weights(1, 4, 4), QG.numbers(1, 4), _norm(1, 4)),
+          SC.Layer(QG.weights(2, 4, 3), QG.numbers(2, 3), _norm(2, 3))]
+HEAD = SC.Dense(QG.weights(3, 3, 4), QG.numbers(3, 4), QG.weights(4, 4, CLASSES), QG.numbers(4, CLASSES))
+THRESHOLDS = [0.3 + 0.05 * c for c in range(CLASSES)]
 
 
 def _graph_score_sql() -> str:
-    gcn = REGISTRY["gcn_propagate"].sql
-    head, body = gcn.rsplit("\nSELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id", 1)
-    h = "SELECT e.graph_id, CAST(e.dst AS BIGINT) AS node_id" + body
-    vals = ", ".join(f"({c}, CAST({_head_b(c)} AS DOUBLE), " + ", ".join(
-        f"CAST({_head_w(c, j)} AS DOUBLE)" for j in range(4)) + ")" for c in range(9))
-    return head + f""",
-hh AS ({h}),
-pm AS (SELECT graph_id, dim, avg(x) AS m FROM hh GROUP BY graph_id, dim),
-pv AS (SELECT graph_id, max(CASE WHEN dim = 0 THEN m END) AS v0, max(CASE WHEN dim = 1 THEN m END) AS v1,
-          max(CASE WHEN dim = 2 THEN m END) AS v2, max(CASE WHEN dim = 3 THEN m END) AS v3 FROM pm GROUP BY graph_id),
-sc AS (SELECT pv.graph_id AS sample_id, CAST(c.cls AS BIGINT) AS cls,
-          1.0 / (1.0 + exp(-(c.b + c.w0 * v0 + c.w1 * v1 + c.w2 * v2 + c.w3 * v3))) AS p
-       FROM pv CROSS JOIN (VALUES {vals}) c(cls, b, w0, w1, w2, w3))
-SELECT sample_id, cls, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS yhat FROM sc"""
+    """Layers over long rows of (graph, node, dim), degrees per edge."""
+    cols = [f"f{i}" for i in range(4)]
+    defs, deps, source = {"pw": QG.PW_SQL}, {"pw": ("px",)}, "pw"
+    for k, layer in enumerate(LAYERS):
+        n, b = len(layer.bias), layer.norm
+        z = ", ".join(f"{e} AS z{j}" for j, e in enumerate(QG.linear_sql(cols, layer.weight)))
+        sums = ", ".join(f"sum(z.z{j} / sqrt(du.deg * dv.deg)) + CAST({layer.bias[j]!r} AS DOUBLE) AS s{j}" for j in range(n))
+        norm = ", ".join(
+            f"greatest((s{j} - CAST({b.mean[j]!r} AS DOUBLE)) / sqrt(CAST({b.variance[j]!r} AS DOUBLE) + {b.epsilon!r}) "
+            f"* CAST({b.gamma[j]!r} AS DOUBLE) + CAST({b.beta[j]!r} AS DOUBLE), 0.0) AS f{j}" for j in range(n))
+        defs[f"z{k}"], deps[f"z{k}"] = f"SELECT graph_id, node_id, {z} FROM {source} q", (source,)
+        defs[f"l{k}"] = f"""SELECT graph_id, node_id, {norm} FROM (
+  SELECT e.graph_id, e.dst AS node_id, {sums}
+  FROM pe e JOIN pdeg du ON du.graph_id = e.graph_id AND du.dst = e.src
+  JOIN pdeg dv ON dv.graph_id = e.graph_id AND dv.dst = e.dst
+  JOIN z{k} z ON z.graph_id = e.graph_id AND z.node_id = e.src GROUP BY e.graph_id, e.dst) s"""
+        deps[f"l{k}"] = (f"z{k}", "pdeg")
+        source, cols = f"l{k}", [f"f{j}" for j in range(n)]
+    hidden = ", ".join(f"greatest({e}, 0.0) AS h{j}" for j, e in enumerate(QG.linear_sql(
+        cols, HEAD.hidden, HEAD.hidden_bias)))
+    defs["pool"] = f"SELECT graph_id, {', '.join(f'avg({c}) AS {c}' for c in cols)} FROM {source} GROUP BY graph_id"
+    defs["hid"], deps["pool"], deps["hid"] = f"SELECT graph_id, {hidden} FROM pool", (source,), ("pool",)
+    logits = ", ".join(QG.linear_sql([f"h{j}" for j in range(len(HEAD.hidden_bias))], HEAD.out, HEAD.out_bias))
+    limits = ", ".join(f"CAST({t!r} AS DOUBLE)" for t in THRESHOLDS)
+    return QG._esql(f"""
+SELECT sc.sample_id, sc.cls, CASE WHEN t.cls IS NULL THEN 0 ELSE 1 END AS y, sc.p,
+       CASE WHEN sc.p >= sc.t THEN 1 ELSE 0 END AS yhat
+FROM (SELECT sample_id, cls, 1.0 / (1.0 + exp(-z)) AS p, t
+      FROM (SELECT graph_id AS sample_id, unnest([{logits}]) AS z, unnest([{limits}]) AS t,
+                   unnest(CAST(range({CLASSES}) AS BIGINT[])) AS cls FROM hid) r) sc
+LEFT JOIN (SELECT DISTINCT sample_id, CAST(substr(cwe, 5) AS BIGINT) AS cls FROM tool_labels WHERE tool = 'truth') t
+  ON t.sample_id = sc.sample_id AND t.cls = sc.cls""", "hid", "tool_labels",
+                    extra=QG.PROP_SQL | defs, deps=QG.PROP_DEPS | deps)
 
 
 @register("graph_score", _graph_score_sql(), rnd=("p",))
 def q_graph_score(spark, d):
-    """GCN step -> mean pooling -> dense head (fixed weights) -> sigmoid."""
+    """Two layers with batch norm -> mean pooling -> head -> labels, with truth."""
     n = QG._nodes(spark, d)
-    x = P.node_scalar_features(n)
-    h = P.gcn_propagate(n, QG._edges(n), x)
-    pooled = h.groupBy("graph_id").agg(*[F.avg(c).alias(f"v{j}") for j, c in enumerate(P.SCALAR_FEATURES)])
-    rows = []
-    for c in range(9):
-        z = F.lit(_head_b(c))
-        for j in range(4):
-            z = z + F.lit(_head_w(c, j)) * F.col(f"v{j}")
-        rows.append(F.struct(F.lit(c).cast("bigint").alias("cls"), M.sigmoid(z).alias("p")))
-    s = pooled.select(F.col("graph_id").alias("sample_id"), F.explode(F.array(*rows)).alias("t"))
-    return s.select("sample_id", "t.cls", "t.p", (F.col("t.p") >= 0.5).cast("int").alias("yhat"))
+    truth = V.tool_labels(spark, d).where(F.col("tool") == "truth").select(
+        "sample_id", F.expr("CAST(substring(cwe, 5) AS BIGINT)").alias("cls"))
+    return SC.graph_scores(QG._edges(n), P.node_scalar_features(n), P.SCALAR_FEATURES, LAYERS, HEAD, truth,
+                           thresholds=THRESHOLDS)
 
 
 # --- features per function ------------------------------------------------------
