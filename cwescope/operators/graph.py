@@ -334,15 +334,25 @@ def graph_global(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     F.when(n > 0, e / n).otherwise(F.lit(0.0)).alias("edges_per_node"), "density")
 
 
-def graph_validity(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """A graph is kept if it has >= 1 node, a label row and every edge
-    endpoint is in [0, N). Returns valid flag and the first failing reason."""
+def graph_validity(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame,
+                   features: DataFrame | None = None) -> DataFrame:
+    """A graph of ``graphs`` is kept if it has nodes, a feature vector for each
+    of them (``features``: graph_id, node_id, x; not asked without that table),
+    labels, and edges whose ends are nodes: in [0, N). Returns the valid flag
+    and the first reason that fails."""
     nc = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     ec = edges.groupBy("graph_id").agg(F.max(F.greatest("src", "dst")).alias("mx"),
                                        F.min(F.least("src", "dst")).alias("mn"))
     lab = labels.select("graph_id").distinct().withColumn("has_label", F.lit(True))
-    j = nc.join(ec, "graph_id", "left").join(lab, "graph_id", "left")
-    reason = (F.when(F.col("n") < 1, F.lit("no nodes"))
+    j = (graphs.select("graph_id").distinct().join(nc, "graph_id", "left").join(ec, "graph_id", "left")
+         .join(lab, "graph_id", "left"))
+    if features is not None:
+        fc = features.where(F.size("x") > 0).groupBy("graph_id").agg(F.count(F.lit(1)).alias("nf"))
+        j = j.join(fc, "graph_id", "left").withColumn("bare", F.coalesce("nf", F.lit(0)) < F.col("n"))
+    else:
+        j = j.withColumn("bare", F.lit(False))
+    reason = (F.when(F.col("n").isNull(), F.lit("no nodes"))
+              .when(F.col("bare"), F.lit("no features"))
               .when(F.col("has_label").isNull(), F.lit("no labels"))
               .when(F.col("mn") < 0, F.lit("negative endpoint"))
               .when(F.col("mx") >= F.col("n"), F.lit("endpoint out of range")))
@@ -401,7 +411,8 @@ def edge_type_vocab(edges: DataFrame, strict: bool = False) -> DataFrame:
 def node_features(nodes: DataFrame, vocab: DataFrame, dim: int = 64) -> DataFrame:
     """Dense node vector of size ``dim``: one-hot type, then at offset
     |vocab|+1 (0 if offset+20 > dim): child count, depth, sibling, leaf,
-    named, text length (scaled) and the six danger flags of the text.
+    named, text length (scaled) and the six danger flags of the text. At offset
+    0 the numbers replace the one-hot ones; a flag only adds a 1.
 
     The vocabulary has at most dim/2 rows (by construction of
     ``node_vocab``), so it is read once and inlined as a literal map: the
@@ -419,10 +430,18 @@ def node_features(nodes: DataFrame, vocab: DataFrame, dim: int = 64) -> DataFram
              CF.scaled_count(F.col("sibling").cast("double"), 10.0),
              F.col("is_leaf").cast("double"), F.col("is_named").cast("double"),
              CF.scaled_count(F.length(F.coalesce("text", F.lit(""))).cast("double"), 20.0)]
+    numbers = len(slots)
     slots += [low.rlike(p).cast("double") for _, p in CF.DANGER_PATTERNS]
     t = nodes.select("graph_id", "node_id", tid.alias("_t"), *[c.alias(f"_s{k}") for k, c in enumerate(slots)])
-    vec = [F.col(f"_s{i - off}") if off <= i < off + len(slots)
-           else F.when(F.col("_t") == i, F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(dim)]
+
+    def slot(i: int) -> Column:
+        one_hot = F.when(F.col("_t") == i, F.lit(1.0)).otherwise(F.lit(0.0))
+        k = i - off
+        if not 0 <= k < len(slots):
+            return one_hot
+        return F.col(f"_s{k}") if k < numbers else F.greatest(F.col(f"_s{k}"), one_hot)
+
+    vec = [slot(i) for i in range(dim)]
     return t.select("graph_id", "node_id", F.array(*vec).alias("x"))
 
 

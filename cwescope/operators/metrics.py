@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cwescope.session import materialize
+
 # Threshold grid of the tuner = 50 evenly spaced points in
 # [0.1, 0.9]; point i is 0.1 + i * ((0.9 - 0.1) / 49).
 GRID_LO, GRID_HI, GRID_N = 0.1, 0.9, 50
@@ -155,7 +157,16 @@ def sample_scores(pred: DataFrame) -> DataFrame:
     )
 
 
-AUC_BUCKETS = 4096
+#: Buckets per class; a power of two.
+AUC_BUCKETS = 256
+
+
+def _quantile_bucket(bounds: Column, p: Column, buckets: int) -> Column:
+    """Number of ``bounds`` (buckets - 1 sorted numbers) that are <= p, by
+    halving."""
+    steps = F.array(*[F.lit(buckets >> (k + 1)) for k in range(buckets.bit_length() - 1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+        F.get(bounds, at + step - 1) <= p, step).otherwise(F.lit(0)))
 
 
 def roc_auc_per_class(pred: DataFrame, buckets: int = AUC_BUCKETS) -> DataFrame:
@@ -164,21 +175,22 @@ def roc_auc_per_class(pred: DataFrame, buckets: int = AUC_BUCKETS) -> DataFrame:
     Scores are first reduced to distinct (cls, p) with positive/negative
     counts. The cumulative count of negatives below each score is split in
     two levels so no window runs over a whole class: bucket totals (at most
-    #classes x ``buckets`` rows) give the offset of each bucket, and a
-    window over (cls, bucket) gives the rank inside it. Any bucketing that
-    is monotone in p keeps the result exact. A class with one label value
-    has no AUC (null).
+    #classes x ``buckets`` rows) give the offset of each bucket, and a window
+    over (cls, bucket) gives the rank inside it. Buckets end at approximate
+    quantiles of the class's distinct scores, so scores that lie close together
+    spread over all buckets; the AUC is exact for any bounds. A class with one
+    label value has no AUC (null).
     """
-    d = pred.groupBy("cls", "p").agg(
+    d = materialize(pred.groupBy("cls", "p").agg(
         F.sum("y").cast("bigint").alias("pos"),
-        F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    b = F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * buckets).cast("int")
-    d = d.withColumn("b", b)
+        F.sum(1 - F.col("y")).cast("bigint").alias("neg")))
+    d = d.join(F.broadcast(_score_bounds(d, buckets)), "cls")
+    d = d.withColumn("b", _quantile_bucket(F.col("bounds"), F.col("p"), buckets)).drop("bounds")
     bt = d.groupBy("cls", "b").agg(F.sum("neg").alias("bneg"))
     wb = Window.partitionBy("cls").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("cls", "b", F.coalesce(F.sum("bneg").over(wb), F.lit(0)).alias("off"))
     wi = Window.partitionBy("cls", "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    d = (d.join(bt, ["cls", "b"])
+    d = (d.join(F.broadcast(bt), ["cls", "b"])
          .withColumn("below", F.col("off") + F.coalesce(F.sum("neg").over(wi), F.lit(0))))
     a = d.groupBy("cls").agg(
         F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("u"),
@@ -187,6 +199,13 @@ def roc_auc_per_class(pred: DataFrame, buckets: int = AUC_BUCKETS) -> DataFrame:
                                   F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"))
 
 
+def _score_bounds(scores: DataFrame, buckets: int) -> DataFrame:
+    """cls, bounds: the scores at 1/buckets, 2/buckets, ... of a class's
+    distinct ones (one row per class)."""
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    return scores.groupBy("cls").agg(F.percentile_approx("p", shares, 10 * buckets).alias("bounds"))
+
+
 def roc_auc_macro(pred: DataFrame) -> DataFrame:
     return roc_auc_per_class(pred).agg(F.avg("auc").alias("roc_auc"))
 
@@ -212,15 +231,19 @@ def evaluate_run(pred: DataFrame, beta: float = F_BETA) -> DataFrame:
 def tune_thresholds(pred: DataFrame) -> DataFrame:
     """Per class: the grid threshold with the best F1 of ``p >= t``.
 
-    Each row is bucketed by how many grid points are <= p (0..50); then
-    ``p >= t_i`` iff bucket > i. Per class the (bucket, pos, neg) table has at
+    Each row is bucketed by how many grid points are <= p (0..50): by arithmetic,
+    put right by a look at the grid points next to it. Then ``p >= t_i`` iff
+    bucket > i. Per class the (bucket, pos, neg) table has at
     most 51 rows, so the 50 candidate F1 values are computed from that small
     array instead of joining every row with every grid point. First best
     wins; 0.5 when F1 is never > 0.
     """
     grid = threshold_grid()
     garr = F.array(*[F.lit(t) for t in grid])
-    bucket = F.size(F.filter(garr, lambda t: t <= F.col("p")))
+    guess = F.floor((F.col("p") - GRID_LO) * ((GRID_N - 1) / (GRID_HI - GRID_LO))).cast("int") + 1
+    guess = F.greatest(F.least(guess, F.lit(GRID_N)), F.lit(0))
+    bucket = (F.when(F.get(garr, guess) <= F.col("p"), guess + 1)
+              .when(F.get(garr, guess - 1) > F.col("p"), guess - 1).otherwise(guess))
     bc = pred.groupBy("cls", bucket.alias("j")).agg(
         F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     per = bc.groupBy("cls").agg(

@@ -245,15 +245,32 @@ def q_edge_index(spark, d):
     return G.edge_index(n, G.edge_union(n))
 
 
-@register("edge_endpoints", _esql("""
+def _sums_sql(cols: dict[str, str]) -> str:
+    return ", ".join(f"CAST(sum({e}) AS BIGINT) AS {n}" for n, e in cols.items())
+
+
+#: Sums that bind each edge's own values to its ends: a row of a graph and edge
+#: type stands for its edges, which are too many to compare one by one.
+ENDPOINT_SUMS = {"sum_src": "src", "sum_dst": "dst", "sum_pair": "(src + 1) * (dst + 7)",
+                 "sum_src_bytes": "(src + 1) * (src_start_byte * 3 + src_end_byte * 5)",
+                 "sum_dst_bytes": "(dst + 1) * (dst_start_byte * 3 + dst_end_byte * 5)",
+                 "sum_cross": "(src_start_byte + 1) * (dst_end_byte + 1) + (src_end_byte + 1) * (dst_start_byte + 1)"}
+EDGE_ENDPOINTS_SQL = """
 SELECT e.graph_id, e.src, e.dst, e.edge_type, CAST(s.start_byte AS BIGINT) AS src_start_byte,
   CAST(s.end_byte AS BIGINT) AS src_end_byte, CAST(t.start_byte AS BIGINT) AS dst_start_byte,
   CAST(t.end_byte AS BIGINT) AS dst_end_byte
 FROM ge e JOIN tn s ON s.graph_id = e.graph_id AND s.node_id = e.src
-JOIN tn t ON t.graph_id = e.graph_id AND t.node_id = e.dst""", "ge"))
+JOIN tn t ON t.graph_id = e.graph_id AND t.node_id = e.dst"""
+
+
+@register("edge_endpoints", _esql(f"""
+SELECT graph_id, edge_type, count(*) AS edges, {_sums_sql(ENDPOINT_SUMS)}
+FROM ({EDGE_ENDPOINTS_SQL}) e GROUP BY graph_id, edge_type""", "ge"))
 def q_edge_endpoints(spark, d):
     n = _nodes(spark, d)
-    return G.edge_endpoints(n, G.edge_union(n), ["start_byte", "end_byte"])
+    e = G.edge_endpoints(n, G.edge_union(n), ["start_byte", "end_byte"])
+    return e.groupBy("graph_id", "edge_type").agg(
+        F.count(F.lit(1)).alias("edges"), *[F.sum(F.expr(x)).cast("bigint").alias(c) for c, x in ENDPOINT_SUMS.items()])
 
 
 STATS_SQL = """
@@ -287,19 +304,30 @@ def q_graph_global(spark, d):
 
 
 @register("graph_validity", _esql("""
-SELECT n.graph_id, r IS NULL AS valid, r AS reason FROM (
-  SELECT n.graph_id,
-    CASE WHEN n.n < 1 THEN 'no nodes' WHEN l.graph_id IS NULL THEN 'no labels'
+SELECT graph_id, r IS NULL AS valid, r AS reason FROM (
+  SELECT g.graph_id,
+    CASE WHEN n.n IS NULL THEN 'no nodes' WHEN coalesce(f.n, 0) < n.n THEN 'no features'
+         WHEN l.graph_id IS NULL THEN 'no labels'
          WHEN e.mn < 0 THEN 'negative endpoint' WHEN e.mx >= n.n THEN 'endpoint out of range' END AS r
-  FROM (SELECT graph_id, count(*) AS n FROM tn GROUP BY graph_id) n
-  LEFT JOIN (SELECT graph_id, max(greatest(src, dst)) AS mx, min(least(src, dst)) AS mn FROM ge GROUP BY graph_id) e
-    ON e.graph_id = n.graph_id
-  LEFT JOIN (SELECT DISTINCT sample_id AS graph_id FROM tool_labels WHERE tool = 'truth') l ON l.graph_id = n.graph_id) n""",
-    "ge", "tool_labels"))
+  FROM gsrc g
+  LEFT JOIN (SELECT graph_id, count(*) AS n FROM tn WHERE graph_id % 13 <> 0 GROUP BY graph_id) n ON n.graph_id = g.graph_id
+  LEFT JOIN (SELECT graph_id, count(*) AS n FROM tn WHERE graph_id % 11 <> 0 OR node_id > 0 GROUP BY graph_id) f
+    ON f.graph_id = g.graph_id
+  LEFT JOIN (SELECT graph_id, max(greatest(src, dst)) AS mx, min(least(src, dst)) AS mn
+             FROM (SELECT graph_id, CASE WHEN graph_id % 17 = 0 THEN src - 1 ELSE src END AS src,
+                          CASE WHEN graph_id % 19 = 0 THEN dst + 1 ELSE dst END AS dst FROM ge) m
+             GROUP BY graph_id) e ON e.graph_id = g.graph_id
+  LEFT JOIN (SELECT DISTINCT sample_id AS graph_id FROM tool_labels WHERE tool = 'truth') l ON l.graph_id = g.graph_id) n""",
+    "ge", "gsrc", "tool_labels"))
 def q_graph_validity(spark, d):
-    n = _nodes(spark, d)
+    """Each reason occurs: some graphs lose their nodes, a feature row, or get
+    edges that lead out of them."""
+    t, n, g = _texts(spark, d), _nodes(spark, d), F.col("graph_id")
     lab = V.tool_labels(spark, d).where(F.col("tool") == "truth").select(F.col("sample_id").alias("graph_id"))
-    return G.graph_validity(n, G.edge_union(n), lab)
+    e = G.edge_union(n).select("graph_id", (F.col("src") - (g % 17 == 0).cast("int")).alias("src"),
+                               (F.col("dst") + (g % 19 == 0).cast("int")).alias("dst"))
+    x = n.where((g % 11 != 0) | (F.col("node_id") > 0)).select("graph_id", "node_id", F.array(F.lit(1.0)).alias("x"))
+    return G.graph_validity(t.select("graph_id"), n.where(g % 13 != 0), e, lab, x)
 
 
 def _train_nodes(spark, d, n=None):
@@ -308,13 +336,17 @@ def _train_nodes(spark, d, n=None):
 
 
 H_GID = "CAST(('0x' || substr(md5(CAST(graph_id AS VARCHAR)), 1, 8)) AS BIGINT)"
-VOCAB_SQL = f"""
+def _vocab_sql(dim: int) -> str:
+    return f"""
 SELECT node_type, CAST(rk - 1 AS INTEGER) AS type_id, cnt AS count FROM (
   SELECT node_type, cnt, row_number() OVER (ORDER BY cnt DESC, fg, fn) AS rk FROM (
     SELECT node_type, count(*) AS cnt, arg_min(graph_id, (graph_id, node_id)) AS fg,
            arg_min(node_id, (graph_id, node_id)) AS fn
     FROM tn WHERE {H_GID} < {TRAIN_LIMIT} GROUP BY node_type) a) b
-WHERE rk <= {VOCAB_DIM // 2}"""
+WHERE rk <= {dim // 2}"""
+
+
+VOCAB_SQL = _vocab_sql(VOCAB_DIM)
 
 
 @register("node_vocab", _sql(VOCAB_SQL, "tn"))
@@ -348,23 +380,42 @@ def _flag_list_sql(col: str) -> str:
                      for _, p in CF.DANGER_PATTERNS)
 
 
-@register("node_features", _sql(f"""
+def node_features_sql(dim: int) -> str:
+    """The scalar slots stand over the one-hot numbers, a flag only if it is set."""
+    vocab = _vocab_sql(dim)
+    return f"""
 SELECT graph_id, CAST(node_id AS BIGINT) AS node_id,
-  list_transform(range(0, {VOCAB_DIM}), lambda i:
-    CASE WHEN i - off >= 0 AND i - off < 12 THEN sl[i - off + 1]
+  list_transform(range(0, {dim}), lambda i:
+    CASE WHEN i - off >= 0 AND i - off < 6 THEN sl[i - off + 1]
+         WHEN i - off >= 6 AND i - off < 12 AND sl[i - off + 1] = 1.0 THEN 1.0
          WHEN i = type_id THEN 1.0 ELSE 0.0 END) AS x
 FROM (
   SELECT n.graph_id, n.node_id, v.type_id,
-    CASE WHEN vs.nv + 1 + 20 > {VOCAB_DIM} THEN 0 ELSE vs.nv + 1 END AS off,
+    CASE WHEN vs.nv + 1 + 20 > {dim} THEN 0 ELSE vs.nv + 1 END AS off,
     [least(n.child_count / 10.0, 1.0), least(n.depth / 50.0, 1.0), least(n.sibling / 10.0, 1.0),
      CASE WHEN n.is_leaf THEN 1.0 ELSE 0.0 END, CASE WHEN n.is_named THEN 1.0 ELSE 0.0 END,
      least(length(coalesce(n.text, '')) / 20.0, 1.0), {_flag_list_sql('n.text')}] AS sl
-  FROM tn n LEFT JOIN ({VOCAB_SQL}) v ON v.node_type = n.node_type
-  CROSS JOIN (SELECT count(*) AS nv FROM ({VOCAB_SQL}) q) vs) z""", "tn"))
-def q_node_features(spark, d):
+  FROM tn n LEFT JOIN ({vocab}) v ON v.node_type = n.node_type
+  CROSS JOIN (SELECT count(*) AS nv FROM ({vocab}) q) vs) z"""
+
+
+def _features(spark, d, dim):
     n = _nodes(spark, d, text=True)
-    v = G.node_vocab(_train_nodes(spark, d, n), VOCAB_DIM)
-    return G.node_features(n, v, VOCAB_DIM)
+    return G.node_features(n, G.node_vocab(_train_nodes(spark, d, n), dim), dim)
+
+
+@register("node_features", _sql(node_features_sql(VOCAB_DIM), "tn"))
+def q_node_features(spark, d):
+    return _features(spark, d, VOCAB_DIM)
+
+
+#: Too small for slots behind the one-hot numbers.
+SMALL_DIM = 20
+
+
+@register("node_features_small", _sql(node_features_sql(SMALL_DIM), "tn"))
+def q_node_features_small(spark, d):
+    return _features(spark, d, SMALL_DIM)
 
 
 @register("node_features_full", _sql(f"""
@@ -382,7 +433,7 @@ def q_node_features_full(spark, d):
     return G.node_features_full(n, G.node_vocab_full(n))
 
 
-@register("edge_features", _esql("""
+EDGE_FEATURES_SQL = """
 SELECT e.graph_id, e.src, e.dst, e.edge_type,
   [CASE WHEN e.edge_type = 'ast' THEN 1.0 ELSE 0.0 END,
    CASE WHEN e.edge_type IN ('reverse', 'ast_reverse') THEN 1.0 ELSE 0.0 END,
@@ -391,10 +442,22 @@ SELECT e.graph_id, e.src, e.dst, e.edge_type,
    least(ln(1 + abs(t.start_byte - s.end_byte)) / 10.0, 1.0),
    CASE WHEN t.start_byte >= s.end_byte THEN 1.0 ELSE -1.0 END, 0.0, 0.0, 0.0, 0.0] AS ef
 FROM ge e JOIN tn s ON s.graph_id = e.graph_id AND s.node_id = e.src
-JOIN tn t ON t.graph_id = e.graph_id AND t.node_id = e.dst""", "ge"))
+JOIN tn t ON t.graph_id = e.graph_id AND t.node_id = e.dst"""
+EDGE_SLOTS = 10
+
+
+@register("edge_features", _esql(f"""
+SELECT graph_id, edge_type, count(*) AS edges,
+  {', '.join(f"CAST(sum(CAST(round(ef[{i + 1}] * 1000000) AS BIGINT) * (src * 31 + dst * 17 + 1)) AS BIGINT) AS slot{i}"
+             for i in range(EDGE_SLOTS))}
+FROM ({EDGE_FEATURES_SQL}) e GROUP BY graph_id, edge_type""", "ge"))
 def q_edge_features(spark, d):
     n = _nodes(spark, d)
-    return G.edge_features(n, G.edge_union(n))
+    place = F.col("src") * 31 + F.col("dst") * 17 + 1
+    slots = [F.sum(F.round(F.col("ef")[i] * 1_000_000).cast("bigint") * place).alias(f"slot{i}")
+             for i in range(EDGE_SLOTS)]
+    return G.edge_features(n, G.edge_union(n)).groupBy("graph_id", "edge_type").agg(
+        F.count(F.lit(1)).alias("edges"), *slots)
 
 
 @register("edge_type_vocab", _esql("""

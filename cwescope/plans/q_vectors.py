@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cwescope.functions.labels import multi_hot
+from cwescope.operators import assemble as AS
 from cwescope.operators import codemetrics as CM
 from cwescope.operators import encode as EN
 from cwescope.operators import graph as G
@@ -115,46 +117,91 @@ def q_semantic_variance(spark, d):
     return VE.semantic_variance(_emb(spark, d), "label", "embedding")
 
 
+CLASS_COUNT = 10
+CANDIDATES = [LN.Candidate(reg=0.01), LN.Candidate(reg=0.3)]
+
+
 def _emb_split(spark, d):
+    """Features, labels, and the ids of the train, validation and test parts."""
     e = _emb(spark, d)
-    h = hash32(F.col("vec_id"))
-    train = e.where(h < F.lit(int(0.7 * (1 << 32)))).select(F.col("vec_id").alias("sample_id"))
-    test = e.where(h >= F.lit(int(0.7 * (1 << 32)))).select(F.col("vec_id").alias("sample_id"))
+    share = hash32(F.col("vec_id")) / F.lit(1 << 32)
+    parts = [e.where((share >= lo) & (share < hi)).select(F.col("vec_id").alias("sample_id"))
+             for lo, hi in ((0.0, 0.7), (0.7, 0.85), (0.85, 1.0))]
     feats = e.select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vec"))
     labels = e.select(F.col("vec_id").alias("sample_id"),
                       F.explode(F.array(*[F.struct(F.lit(c).alias("cls"),
                                                    (F.col("label") == c).cast("int").alias("y"))
-                                          for c in range(10)])).alias("t")).select("sample_id", "t.cls", "t.y")
-    return feats, labels, train, test
+                                          for c in range(CLASS_COUNT)])).alias("t")).select("sample_id", "t.cls", "t.y")
+    return feats, labels, *parts
+
+
+def _selected(spark, d):
+    feats, labels, train, val, test = _emb_split(spark, d)
+    chosen = LN.select_model(feats, labels, list(range(CLASS_COUNT)), train, val, CANDIDATES, by="fbeta")
+    return chosen, chosen.predict(feats, labels, test)
 
 
 @register("train_multilabel")
 def q_train_multilabel(spark, d):
-    feats, labels, train, test = _emb_split(spark, d)
-    return LN.train_multilabel(feats, labels, list(range(10)), train, test)
+    """Predictions of the chosen model for the test part."""
+    return _selected(spark, d)[1]
+
+
+@register("model_selection")
+def q_model_selection(spark, d):
+    """The candidates with their validation scores."""
+    return _selected(spark, d)[0].scores
 
 
 @register("evaluate_trained")
 def q_evaluate_trained(spark, d):
-    feats, labels, train, test = _emb_split(spark, d)
-    return M.evaluate_run(LN.train_multilabel(feats, labels, list(range(10)), train, test))
+    return M.evaluate_run(_selected(spark, d)[1])
+
+
+GRAPH_CLASSES = [f"CWE-{i}" for i in range(9)]
+
+
+def _place_sql(i: str, j: str) -> str:
+    return f"(({i} * 31 + {j} * 17) % 997 + 1)"
 
 
-@register("graph_assemble")
+@register("graph_assemble", QG._esql(f"""
+SELECT g.graph_id, n.num_nodes, coalesce(e.num_edges, 0) AS num_edges, n.x_digest,
+  coalesce(e.edge_digest, 0) AS edge_digest, coalesce(e.attr_digest, 0) AS attr_digest,
+  list_transform({GRAPH_CLASSES}, lambda c: CAST(list_contains(coalesce(l.cwes, []), c) AS INTEGER)) AS y,
+  'proj' || CAST(g.graph_id % 7 AS VARCHAR) AS project, md5(CAST(g.graph_id AS VARCHAR)) AS commit_id
+FROM gsrc g
+JOIN (SELECT graph_id, count(*) AS num_nodes, CAST(sum(list_sum(list_transform(range(1, {QG.VOCAB_DIM + 1}), lambda j:
+        CAST(round(x[j] * 1000000) AS BIGINT) * {_place_sql('node_id', '(j - 1)')}))) AS BIGINT) AS x_digest
+      FROM ({QG.node_features_sql(QG.VOCAB_DIM)}) f GROUP BY graph_id) n ON n.graph_id = g.graph_id
+LEFT JOIN (SELECT graph_id, count(*) AS num_edges,
+             CAST(sum(src * {_place_sql('k', '0')} + dst * {_place_sql('k', '1')}) AS BIGINT) AS edge_digest,
+             CAST(sum(list_sum(list_transform(range(1, {QG.EDGE_SLOTS + 1}), lambda j:
+               CAST(round(ef[j] * 1000000) AS BIGINT) * {_place_sql('k', '(j - 1)')}))) AS BIGINT) AS attr_digest
+           FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) - 1 AS k
+                 FROM ({QG.EDGE_FEATURES_SQL}) f) r GROUP BY graph_id) e ON e.graph_id = g.graph_id
+LEFT JOIN (SELECT sample_id, list(cwe) AS cwes FROM tool_labels WHERE tool = 'truth' GROUP BY sample_id) l
+  ON l.sample_id = g.graph_id""", "ge", "gsrc", "tool_labels"))
 def q_graph_assemble(spark, d):
+    """Whole graph rows; the query returns a digest of each of their matrices."""
     n = QG._nodes(spark, d, text=True)
-    v = G.node_vocab(QG._train_nodes(spark, d, n), QG.VOCAB_DIM)
-    x = G.node_features(n, v, QG.VOCAB_DIM)
-    xs = x.groupBy("graph_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "x"))),
-                                               lambda s: s["x"]).alias("x"))
-    ei = G.edge_index(n, G.edge_union(n))
-    lab = V.tool_labels(spark, d).where(F.col("tool") == "truth").groupBy("sample_id") \
-        .agg(F.collect_set("cwe").alias("cwes")).withColumnRenamed("sample_id", "graph_id")
-    from cwescope.functions.labels import multi_hot
-    classes = [f"CWE-{i}" for i in range(9)]
-    j = xs.join(ei, "graph_id").join(lab, "graph_id", "left")
-    return j.select("graph_id", F.size("x").alias("num_nodes"), F.size("pairs").alias("num_edges"),
-                    multi_hot(F.col("cwes"), classes).alias("y"))
+    vocab = G.node_vocab(QG._train_nodes(spark, d, n), QG.VOCAB_DIM)
+    x = G.node_features(n, vocab, QG.VOCAB_DIM)
+    e = G.edge_features(n, G.edge_union(n))
+    truth = V.tool_labels(spark, d).where(F.col("tool") == "truth").groupBy(F.col("sample_id").alias("graph_id")).agg(
+        F.collect_set("cwe").alias("cwes"))
+    ids = QG._texts(spark, d).select("graph_id")
+    none = F.array().cast("array<string>")
+    labels = ids.join(truth, "graph_id", "left").select(
+        "graph_id", multi_hot(F.coalesce("cwes", none), GRAPH_CLASSES).alias("y"))
+    about = ids.select("graph_id", F.concat(F.lit("proj"), (F.col("graph_id") % 7).cast("string")).alias("project"),
+                       F.md5(F.col("graph_id").cast("string")).alias("commit_id"))
+    g = AS.graph_rows(x, e, labels, about)
+    pairs = F.transform("edge_index", lambda s: F.array(s["src"].cast("double"), s["dst"].cast("double")))
+    return g.select("graph_id", F.size("x").cast("bigint").alias("num_nodes"),
+                    F.size("edge_index").cast("bigint").alias("num_edges"), AS.matrix_digest("x").alias("x_digest"),
+                    AS.matrix_digest(pairs, 1).alias("edge_digest"), AS.matrix_digest("edge_attr").alias("attr_digest"),
+                    "y", "metadata.project", "metadata.commit_id")
 
 
 # Fixed weights of the scoring check, by a rule (no training).
