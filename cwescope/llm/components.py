@@ -67,7 +67,7 @@ def _centres(large: DataFrame, step: int, n: int) -> DataFrame:
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = 1,
-           split: Callable[[DataFrame], DataFrame] | None = None, split_after: int = 3) -> DataFrame:
+           resolve: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 3) -> DataFrame:
     """node, root: components of the similar pairs among nodes that share a
     bucket (``members``: bucket, node).
 
@@ -79,11 +79,11 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], few: in
     is connected after a few members' worth of checks, and the few pairs that
     stay open between it and single members cost a row each, not a square.
 
-    Buckets that are still open after ``split_after`` rounds are given to
-    ``split``: it returns smaller buckets (bucket, node) that hold every pair
-    worth a check, where rounds start again with one centre. Without ``split``,
-    and in split buckets, rounds go on until no pair is open or every pair of the
-    bucket has been verified; so no candidate is lost."""
+    Buckets that are still open after ``rounds`` rounds hold many members that
+    are not similar. They go to ``resolve`` (bucket, node, root), which compares
+    their members in blocks, without a row for a pair, and returns links (a, b)
+    that connect what is similar. Without it, rounds go on until no pair is open
+    or every pair of the bucket has been verified. No candidate is lost."""
     links = tried = roots = None
     step, centres = 0, 1
     while True:
@@ -100,30 +100,36 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], few: in
                  .where((F.col("node") < F.col("other")) & (F.col("root") != F.col("to")))
                  .select(F.col("node").alias("a"), F.col("other").alias("b")))
         large = here.where(~F.col("few"))
-        centre = _centres(large, step, centres)
-        if centre.count() <= BROADCAST_ROWS:
-            centre = F.broadcast(centre)
-        star = (large.join(centre, "bucket").where(F.col("root") != F.col("to"))
-                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-        asked = asked.unionByName(star).distinct()
+        last = step == rounds and resolve is not None
+        if not last:
+            centre = _centres(large, step, centres)
+            if centre.count() <= BROADCAST_ROWS:
+                centre = F.broadcast(centre)
+            asked = asked.unionByName(large.join(centre, "bucket").where(F.col("root") != F.col("to")).select(
+                F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+        asked = asked.distinct()
         if tried is not None:
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = store(asked, "link-asked")
+        now = None
         if not asked.isEmpty():
             found = store(verify(asked), "link-verified")
             now, all_ = found.where("similar").select("a", "b"), asked.select("a", "b")
-            links = now if links is None else links.unionByName(now)
             tried = all_ if tried is None else tried.unionByName(all_)
-            if not now.isEmpty():
-                roots = components(links)
+        if last:
+            blocks = store(resolve(large.select("bucket", "node", "root")), "link-resolved")
+            now = blocks if now is None else now.unionByName(blocks)
+        if now is not None and not now.isEmpty():
+            links = now if links is None else links.unionByName(now)
+            roots = components(links)
+        if last:
+            break
         # what was verified pair by pair is settled
         left = per.where(~F.col("few") & (F.col("n") > centres)).select("bucket")
         members = store(members.join(left, "bucket"), "link-members")
         if members.isEmpty():
             break
         step, centres = step + 1, centres * 2
-        if step == split_after and split is not None:
-            members, centres = store(split(members), "link-split"), 1
     if roots is None:
         return members.select("node", F.col("node").alias("root")).limit(0)
     return roots

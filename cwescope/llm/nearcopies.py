@@ -22,9 +22,9 @@ the connected groups.
 
 With 20 bands of 5 registers a pair at similarity 0.8 becomes a candidate
 with probability 0.9996. A bucket that stays open after ``STAR_ROUNDS`` rounds
-holds many members that are not similar; there a pair must share a second band,
-which a pair at similarity 0.8 does with probability 0.996, one at 0.85 with
-0.9998.
+holds many members that resemble each other, but not enough. It is cut into
+blocks; each pair of blocks is compared in one task by a product of 0 / 1
+matrices (members by shingle occurrences), which returns only links.
 
 Documents without words (null, empty) are alone in their class. Rows that
 repeat an id have their own nodes, and the class id is the smallest id of the
@@ -49,8 +49,13 @@ ship(__name__)
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-#: Rounds of centres after which a bucket is split by a second band.
-STAR_ROUNDS = 4
+#: Rounds of centres after which an open bucket is compared in blocks.
+STAR_ROUNDS = 3
+#: Members, and their shingles, in a block of a crowded bucket.
+BLOCK_NODES = 512
+BLOCK_SHINGLES = 1 << 20
+#: Numbers of a matrix of members and shingles that a task holds at a time.
+MATRIX = 1 << 24
 #: Open pairs per member up to which a bucket is verified pair by pair.
 FEW = 4
 LAST_ID = (1 << 63) - 1
@@ -217,6 +222,61 @@ def _verify(least: float):
     return run
 
 
+def _occurrences(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: the k-th occurrence of a shingle in a document is an
+    element of its own. (document, element), by document."""
+    by = np.lexsort((values, doc))
+    doc, values = doc[by], values[by]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+    at = np.flatnonzero(head)
+    k = np.arange(len(doc)) - np.repeat(at, np.diff(np.append(at, len(doc))))
+    return doc, mixed(values + k.astype(np.uint64) * GOLD)
+
+
+def similar_members(texts: pa.Array, least: float) -> np.ndarray:
+    """Which members are similar, as a matrix."""
+    n = len(texts)
+    _, doc, values, _ = shingles(texts)
+    doc, element = _occurrences(doc, values)
+    size = np.bincount(doc, minlength=n)
+    names, code, count = np.unique(element, return_inverse=True, return_counts=True)
+    shared = count > 1  # others add nothing to an overlap
+    place = np.cumsum(shared) - 1
+    on = shared[code]
+    doc, column = doc[on], place[code[on]]
+    both = np.zeros((n, n), np.float32)
+    step = max(1, MATRIX // max(n, 1))
+    by = np.argsort(column, kind="stable")
+    doc, column = doc[by], column[by]
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((n, step), np.float32)
+        part[doc[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    return both >= (least - 1e-9) * (size[:, None] + size[None, :] - both)
+
+
+def _block_links(least: float):
+    """Links that connect the similar members of two blocks of a bucket (of
+    one, where i = j) whose roots differ."""
+    def run(table: pa.Table) -> pa.Table:
+        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+        alike = similar_members(table.column("text").combine_chunks(), least)
+        if table.column("i")[0] != table.column("j")[0]:
+            alike &= own[:, None] != own[None, :]
+        alike &= root[:, None] != root[None, :]
+        names, group = np.unique(root, return_inverse=True)
+        group = group.reshape(-1).copy()
+        links = []
+        for x, y in np.argwhere(np.triu(alike, 1)):
+            if group[x] != group[y]:
+                links.append((min(node[x], node[y]), max(node[x], node[y])))
+                group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    return run
+
+
 # ---- operator ----------------------------------------------------------------
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -237,7 +297,8 @@ def classes(docs: DataFrame, least: float = MIN_SIMILARITY, bands: int = BANDS,
         _sign(bands, rows), "doc_id long, row long, node long, n_shingles long, bands array<long>"), "near-signed")
     rank = F.coalesce("doc_id", F.lit(LAST_ID))
     nodes = store(signed.where("n_shingles > 0").groupBy("node").agg(
-        F.min(rank).alias("first_id"), F.first("bands").alias("bands")), "near-nodes")
+        F.min(rank).alias("first_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")),
+        "near-nodes")
     each = nodes.select("node", F.posexplode("bands").alias("band", "value")) \
         .select("node", F.xxhash64("band", "value").alias("bucket"))
     many = store(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-buckets")
@@ -250,15 +311,22 @@ def classes(docs: DataFrame, least: float = MIN_SIMILARITY, bands: int = BANDS,
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
         return both.mapInArrow(_verify(least), "a long, b long, similar boolean")
 
-    def split(crowded: DataFrame) -> DataFrame:
-        """Buckets of two bands: members that share one more."""
-        other = members.select("node", F.col("bucket").alias("other"))
-        both = crowded.join(other, "node").where(F.col("bucket") != F.col("other")).select(
-            F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node").distinct()
-        shared = both.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        return both.join(shared, "bucket")
-
-    roots = linked(members, verify, FEW, split, STAR_ROUNDS)
+    sizes = nodes.select("node", "n_shingles")
+
+    def resolve(crowded: DataFrame) -> DataFrame:
+        """Links of crowded buckets, compared block by block."""
+        sized = crowded.join(sizes, "node")
+        blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
+        per = sized.groupBy("bucket").agg(blocks.alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        every = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+        pairs = F.transform(every, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+        rows = sized.join(per, "bucket").withColumn("own", own).select("bucket", "node", "root", "own",
+                                                                       F.explode(pairs).alias("pair"))
+        rows = rows.join(texts, "node").select("bucket", "pair.i", "pair.j", "own", "node", "root", "text")
+        return rows.groupBy("bucket", "i", "j").applyInArrow(_block_links(least), "a long, b long").distinct()
+
+    roots = linked(members, verify, FEW, resolve, STAR_ROUNDS)
     named = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = store(named.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("f")), "near-classes")
     named = store(named.join(first, "root").select(

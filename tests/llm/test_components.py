@@ -1,7 +1,9 @@
 """Groups of similar pairs in crowded buckets, without their squares."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cwescope.llm import nearcopies as nc
@@ -25,21 +27,28 @@ def roots_of(df):
 def test_ten_thousand_members_that_are_not_similar(spark):
     members = spark.range(10_000).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"))
     verify, asked = counted(F.lit(False))
-    got = linked(members, verify, split=lambda crowded: crowded.limit(0))
-    assert got.count() == 0 and sum(asked) <= 7 * 10_000
+    seen = []
+
+    def resolve(crowded):
+        seen.append(crowded.count())
+        return crowded.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
+
+    assert linked(members, verify, resolve=resolve).count() == 0
+    assert sum(asked) <= 7 * 10_000 and seen == [10_000]
 
 
 def test_mostly_similar_group_with_single_members(spark):
-    # residues modulo 3: pairs of unequal residue are similar, so half of the stars' checks fail
+    # pairs of unequal residue modulo 3 are similar, so a third of the checks fail
     members = spark.range(3_000).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("node"))
     alone = (F.col("a") % 100 == 7) | (F.col("b") % 100 == 7)
     verify, asked = counted(~alone & (F.col("a") % 3 != F.col("b") % 3))
-    got = roots_of(linked(members, verify, split=lambda crowded: crowded.limit(0)))
+    got = roots_of(linked(members, verify, resolve=lambda crowded: crowded.select(
+        F.col("node").alias("a"), F.col("root").alias("b")).limit(0)))
     assert {r for n, r in got.items() if n % 100 != 7} == {0} and not any(n % 100 == 7 for n in got if n != got[n])
     assert sum(n % 100 != 7 for n in got) == 2_970 and sum(asked) < 12 * 3_000
 
 
-def test_without_split_no_candidate_is_lost(spark):
+def test_without_blocks_no_candidate_is_lost(spark):
     rng = random.Random(5)
     rows = [(b, n) for b in range(12) for n in rng.sample(range(120), rng.choice([3, 20, 60]))]
     near = {(a, a + rng.randint(1, 9)) for a in range(0, 120, 2)}
@@ -66,20 +75,60 @@ def test_without_split_no_candidate_is_lost(spark):
     assert got == {x: find(x) for x in list(want)}
 
 
-def test_split_by_a_second_band(spark, monkeypatch):
-    monkeypatch.setattr(nc, "STAR_ROUNDS", 1)
+def crowd(rng, n=90):
+    """Texts of one template whose pairs are about as often similar as not."""
+    base = [f"b{i % 40}" for i in range(120)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(120)] = f"e{rng.randrange(400)}"
+        out.append(" ".join(words))
+    return out
+
+
+def multiset(text):
+    words = text.split()
+    return Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def similarity(a, b):
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_members_compared_as_matrices(monkeypatch):
+    monkeypatch.setattr(nc, "MATRIX", 90 * 7)
+    texts = [*crowd(random.Random(6)), "a a a a a a a", "a a a a a a", "x", "x", "y z", ""]
+    sets = [multiset(t) if len(t.split()) > 4 else Counter([tuple(t.split())] if t else []) for t in texts]
+    got = nc.similar_members(pa.array(texts), 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and b and i != j:
+                assert got[i, j] == (similarity(a, b) >= 0.8 - 1e-12)
+
+
+def test_crowded_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nc, "FEW", 0)
-    rng = random.Random(6)
-    base = [f"b{i}" for i in range(60)]
-    rows = []
-    for i in range(40):  # every second text is near another one; all share much
-        own = [f"o{i // 2}x{k}" for k in range(60)]
-        words = base[:20] + own
-        if i % 2:
-            words[30 + rng.randrange(40)] = "edit"
-        rows.append((i, " ".join(words)))
-    got = {r.doc_id: r.class_id for r in nc.near_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - i % 2 for i in range(40)}
+    monkeypatch.setattr(nc, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(nc, "BLOCK_NODES", 13)
+    texts = crowd(random.Random(7))
+    sets = [multiset(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8 - 1e-12:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nc.near_report(df).collect()}
+    want = {i: find(i) for i in range(len(texts))}
+    assert got == want and 1 < len(set(want.values())) < len(texts)
 
 
 def test_kept_rows_with_clashing_names(spark):
