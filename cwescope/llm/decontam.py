@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import store
+from cwescope.llm.common import boxed, store
 
 LENGTH = 10
 SLOP = 5
@@ -151,7 +151,11 @@ def proximity_matches(index: Index, slop: int = SLOP) -> DataFrame:
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with n_words, n_hit, hit_items (ids, as strings, sorted)."""
+    """``docs`` with n_words, n_hit, hit_items (ids, as strings, sorted); a
+    column of one of these names in ``docs`` is a ``ValueError``."""
+    clash = sorted({"n_words", "n_hit", "hit_items", "_doc"} & set(docs.columns))
+    if clash:
+        raise ValueError(f"the input already has columns {', '.join(clash)}")
     index = build_index(docs.select("doc_id", "text"), benchmark, length)
     matches = store(phrase_matches(index), "index-matches")
     hit = matches.select("doc", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")) \
@@ -176,8 +180,9 @@ def decontam_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows without a hit, columns as they came."""
-    return marked(docs, benchmark, length).where("n_hit = 0").select(*docs.columns)
+    """Rows without a hit, columns as they came, whatever their names."""
+    rows = docs.select("doc_id", "text", boxed(docs).alias("doc"))
+    return marked(rows, benchmark, length).where("n_hit = 0").select("doc.*")
 
 
 ORACLE = rf"""

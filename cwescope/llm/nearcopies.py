@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import compact, mixed, ship, split_words, store, window_hashes, word_hashes
+from cwescope.llm.common import boxed, compact, mixed, ship, split_words, store, window_hashes, word_hashes
 from cwescope.llm.components import linked
 
 ship(__name__)
@@ -351,7 +351,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = store(classes(docs).where("kept").select("row", (F.col("n_shingles") > 0).alias("worded")).distinct(),
                  "near-stay")
     # the table's own columns are one struct here, so no name can clash
-    rows = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = docs.select(row.alias("row"), boxed(docs).alias("doc"))
     kept = rows.join(stay, "row")
     return (kept.where("worded").dropDuplicates(["row"])
             .unionByName(kept.where(~F.col("worded"))).select("doc.*"))

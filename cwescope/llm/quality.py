@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cwescope.llm.common import compact, mixed, ship, split_words, store
+from cwescope.llm.common import boxed, compact, mixed, ship, split_words, store
 
 ship(__name__)
 
@@ -310,6 +310,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Selected rows, columns as they came."""
-    stay = store(sample(harmless(weights(docs, labels))).select(F.col("row").alias("_row")).distinct(), "quality-stay")
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("string")))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    stay = store(sample(harmless(weights(docs, labels))).select("row").distinct(), "quality-stay")
+    rows = docs.select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"), boxed(docs).alias("doc"))
+    return rows.join(stay, "row", "left_semi").select("doc.*")

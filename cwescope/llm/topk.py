@@ -39,6 +39,7 @@ BLOCK_ROWS = 64
 LEAF_ROWS = 64
 #: Below every score.
 LOW = -(1 << 62)
+HIGH = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -126,19 +127,45 @@ def _best(points: np.ndarray, ids: np.ndarray, tree: BallTree, queries: np.ndarr
     return out
 
 
+def too_wide(points: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether a score, or a score with a row number behind it, may not be
+    exact in the search's numbers."""
+    top = [float(np.abs(a.astype(np.float64)).max()) if a.size else 0.0 for a in (points, queries)]
+    return top[0] * top[1] * points.shape[1] >= 2.0 ** 52 / max(1, len(points) / 1024)
+
+
+def _best_wide(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best by all products, for numbers beyond the search's. Products
+    modulo 2**64 are exact where the score fits; others are the nearest number
+    that does."""
+    out = []
+    for q, own in zip(queries, query_ids):
+        score = points @ q
+        about = points.astype(np.float64) @ q.astype(np.float64)
+        score = np.where(about >= 2.0 ** 63, HIGH, np.where(about <= -2.0 ** 63, -HIGH, score))
+        score, row_ids = score[ids != own], ids[ids != own]
+        by = np.lexsort((row_ids, -score))[:k]
+        out.append(pd.DataFrame({"query_id": own, "vec_id": row_ids[by], "score": score[by]}))
+    return pd.concat(out)
+
+
 def _search(k: int):
     """For mapInPandas over one shard row and then its block rows, and so on."""
     def run(frames):
         import sys
 
         sys.setrecursionlimit(10_000)
-        ids = points = tree = None
+        ids = points = tree = whole = None
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 row_ids = np.frombuffer(r.ids, np.int64)
-                rows = np.frombuffer(r.vectors, np.int32).reshape(len(row_ids), -1).astype(np.float64)
+                exact = np.frombuffer(r.vectors, np.int64).reshape(len(row_ids), -1)
+                rows = exact.astype(np.float64)
                 if r.block < 0:
-                    ids, points, tree = row_ids, rows, BallTree(rows)
+                    ids, points, tree, whole = row_ids, rows, BallTree(rows), exact
+                    continue
+                if too_wide(whole, exact):
+                    yield _best_wide(whole, ids, exact, row_ids, k)
                     continue
                 floor = (np.full(len(row_ids), LOW) if r.floors is None
                          else np.frombuffer(r.floors, np.int64))
@@ -153,7 +180,7 @@ def _search(k: int):
 def _pack(keys, pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows (id, ints) of one group as one row of packed arrays, by id."""
     pdf = pdf.sort_values("id", kind="stable")
-    flat = np.array(pdf["ints"].tolist(), dtype=np.int32)
+    flat = np.array(pdf["ints"].tolist(), dtype=np.int64)
     return pd.DataFrame({"dim": [keys[0]], "part": [keys[1]],
                          "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [flat.tobytes()]})
 
@@ -178,7 +205,7 @@ def _met(shards: DataFrame, blocks: DataFrame, n_shards: int, k: int) -> DataFra
 def top_k(vectors: DataFrame, k: int = TOP_K, step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose
     id is divisible by ``step``, against all rows but those of its own id.
-    Scores are exact while quantised components stay below 2**20 in size."""
+    Scores are exact; one that does not fit 64 bits is the nearest that does."""
     rows = store(usable(vectors), "topk-rows")
     n = rows.count()
     n_shards = max(1, -(-n // SHARD_ROWS))

@@ -39,3 +39,14 @@ def test_few_rows_and_no_rows(spark):
     df = spark.createDataFrame([(20, [0.5, 0.5], 1), (21, [1.0, -1.0], 2)], "vec_id long, embedding array<float>, dim int")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(20, 1, 21, 0)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    rng = random.Random(3)
+    rows = [(i, [float(np.float32(rng.choice([2e7, -1e7, 2.5, 0.25]) * rng.random())) for _ in range(3)])
+            for i in range(1, 90)] + [(100, [2e7, 1.0, 0.0]), (101, [6.0, 1.5e7, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == brute(rows, 20)
