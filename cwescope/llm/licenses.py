@@ -15,16 +15,19 @@ lines of all files.
    heavy word are skipped without loss. Heavy words are few: they come from
    the templates, which are a bounded parameter.
 3. The words of the remaining units meet the word weights and the templates
-   in sparse joins; the best template of a file is its own licence.
+   in sparse joins; the best template of a file is its own licence. Among the
+   GNU licences the unit's own words say which one it is, and its version
+   (``stated_version``); an SPDX identifier counts as a cosine of 1.
 4. The licence of a licence file holds for its directory. Each directory
    takes the nearest ancestor's (its own first), by a join on path prefixes;
    directories without a licence of their own are few compared with files, so
    the join on files is by directory only.
 
-DataFrame functions only. Null texts have no units; null paths have no
-directory; files without a licence and without an ancestor that has one get
-nulls and ``via = 'none'``. Equal rows get equal results; ties go to the
-higher cosine, then to the smaller template name, for directories to the
+DataFrame functions only. A file at the root of relative paths lies in the
+directory ``ROOT``, above all of them. Null texts have no units; null paths have
+no directory; files without a licence and without an ancestor that has one get
+nulls and ``via = 'none'``. Equal rows get equal results; a licence with its
+version goes before one without, then the higher cosine, then the smaller name, for directories to the
 smaller licence name. Columns other than path and text pass through; a clash
 with an output column raises a ``ValueError``.
 """
@@ -52,8 +55,11 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms "
-                "of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms "
+            "of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPL", "GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files"),
@@ -77,6 +83,7 @@ TEMPLATES += (
                    "language governing permissions and limitations under the License."),
     ("BSD-2-Clause", re.sub(r"(?s)3\. Neither.*?permission\.", "", _BSD)),
     ("BSD-3-Clause", _BSD),
+    ("AGPL-3.0", _GNU.format("Affero ", "3")),
     ("GPL-2.0", _GNU.format("", "2")),
     ("GPL-3.0", _GNU.format("", "3")),
     ("LGPL-2.1", _GNU.format("Lesser ", "2.1")),
@@ -94,6 +101,10 @@ WINDOWS = (2, 3, 4, 6, 9, 13, 18, 26)
 WIDE = 160
 LICENCE_FILE = "(?i)^(license|licence|copying|notice|unlicense)([.-].*)?$"
 MIN_COSINE = 0.75
+GNU_FAMILY = "^[AL]?GPL"
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9.+-]+)"
+#: The directory that relative paths start in.
+ROOT = "."
 OUTPUT = ("license", "cosine", "via", "from_dir")
 #: Counts the lines among the words; no word holds it.
 EVERY_LINE = "\n"
@@ -104,8 +115,38 @@ def unit_words(text: Column) -> Column:
 
 
 def directory(path: Column) -> Column:
-    """Path without its last part; null where there is none above it."""
-    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", ""))
+    """Path without its last part; ``ROOT`` for a path of one part."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).when(
+        path.isNotNull(), F.lit(ROOT))
+
+
+def ancestors(directory: Column) -> Column:
+    """(depth, up) of a directory and all above it, up to the root of its tree."""
+    parts = F.split(directory, "/")
+    own = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                      lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
+    root = F.array(F.struct(F.lit(0).alias("depth"), F.lit(ROOT).alias("up")))
+    return F.when(F.startswith(directory, F.lit("/")) | (directory.isin("", ROOT)), own).otherwise(F.concat(root, own))
+
+
+def stated_version(name: Column, text: Column) -> Column:
+    """The licence that a unit's words name, if its template is one of the GNU
+    family: these differ in a word and a number, which weigh little in a cosine.
+    Without a version it is the family alone. ``text``: the words, joined."""
+    family = F.when(F.contains(text, F.lit(" affero ")), "AGPL").when(
+        text.rlike(" (lesser|library) general "), "LGPL").otherwise("GPL")
+    version = F.regexp_extract(text, r" (?:version|v|gpl|gplv)\ ?(2 1|[123]) ", 1)
+    number = F.when(version == "2 1", "2.1").otherwise(F.concat(version, F.lit(".0")))
+    named = F.when(version == "", family).otherwise(F.concat(family, F.lit("-"), number))
+    return F.when(name.rlike(GNU_FAMILY), named).otherwise(name)
+
+
+def spdx_licences(files: DataFrame) -> DataFrame:
+    """file, license, cosine (1) of files that state a licence by its SPDX
+    identifier; the least one, as for equal cosines."""
+    ids = F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))
+    found = F.array_min(F.transform(ids, lambda x: F.regexp_replace(x, "(?i)(-only|-or-later|\\+)$", "")))
+    return files.select("file", found.alias("license"), F.lit(1.0).alias("cosine")).where("license IS NOT NULL")
 
 
 def line_counts(files: DataFrame) -> DataFrame:
@@ -185,6 +226,8 @@ def file_licences(files: DataFrame, templates=TEMPLATES, full_texts=FULL_TEXTS)
                                                        unit_words(F.col("text")).alias("words"))
     units = units.unionByName(whole.where(
         F.arrays_overlap("words", F.array(*map(F.lit, sorted({*heavy, *heavy_full}))))))
+    said = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    texts = units.where("unit >= 0").select("file", "unit", said.alias("said"))
     parts = units.select("file", "unit", F.explode("words").alias("word")) \
         .groupBy("file", "unit", "word").agg(F.count("*").alias("tf"))
     parts = store(parts, "license-words")
@@ -198,11 +241,17 @@ def file_licences(files: DataFrame, templates=TEMPLATES, full_texts=FULL_TEXTS)
     cosine = F.round(F.col("dot") / F.col("norm"), 9)
     dots = dots.where((F.col("unit") < 0) | (F.col("t") < len(templates)))
     names = F.array(*(F.lit(name) for name, _ in (*templates, *full_texts)))
-    scored = dots.join(norms, ["file", "unit"]).select(
-        "file", F.get(names, F.col("t")).alias("license"), cosine.alias("cosine"))
-    best = F.min_by("license", F.struct(-F.col("cosine"), F.col("license")))
-    return (scored.where(F.col("cosine") >= MIN_COSINE).groupBy("file")
-            .agg(best.alias("license"), F.max("cosine").alias("cosine")))
+    scored = store(dots.join(norms, ["file", "unit"]).select(
+        "file", "unit", F.get(names, F.col("t")).alias("license"), cosine.alias("cosine"))
+        .where(F.col("cosine") >= MIN_COSINE), "license-scored")
+    gnu = F.col("license").rlike(GNU_FAMILY) & (F.col("unit") >= 0)
+    named = scored.where(gnu).join(texts, ["file", "unit"]).withColumn(
+        "license", stated_version(F.col("license"), F.col("said"))).drop("said")
+    scored = scored.where(~gnu).unionByName(named).drop("unit").unionByName(spdx_licences(own))
+    # a window without the version may be nearer to a template than one with it
+    open_ = F.col("license").isin("GPL", "LGPL", "AGPL")
+    best = F.min(F.struct(open_.alias("open"), (-F.col("cosine")).alias("c"), "license")).alias("b")
+    return scored.groupBy("file").agg(best).select("file", "b.license", (-F.col("b.c")).alias("cosine"))
 
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -218,11 +267,8 @@ def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
                .join(found, "file").groupBy("dir")
                .agg(F.min_by("license", F.struct(-F.col("cosine"), F.col("license"))).alias("license"))
                .select(F.col("dir").alias("from_dir"), F.col("license").alias("given")))
-    parts = F.split("dir", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                            lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     dirs = rows.select("dir").where(F.col("dir").isNotNull()).distinct()
-    reach = dirs.select("dir", F.explode(ancestors).alias("a")).select("dir", "a.depth", "a.up")
+    reach = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("a")).select("dir", "a.depth", "a.up")
     nearest = store(
         reach.join(granted, F.col("up") == F.col("from_dir"))
         .groupBy("dir").agg(F.max_by(F.struct("given", "from_dir"), "depth").alias("near"))
