@@ -212,20 +212,27 @@ def roc_auc_macro(pred: DataFrame) -> DataFrame:
 
 def evaluate_run(pred: DataFrame, beta: float = F_BETA) -> DataFrame:
     """One metric row: AUC, subset accuracy, macro P/R/F1/F-beta, binary
-    accuracy, any-label-true. Degenerate input zeroes P/R/F/AUC."""
-    prf = prf_averaged(pred, beta).where(F.col("average") == "macro").drop("average")
-    auc = roc_auc_macro(pred)
-    s = sample_scores(pred)
+    accuracy, any-label-true. Degenerate input zeroes P/R/F/AUC. Three passes:
+    per class, per sample, per distinct score."""
+    counts = _counts(pred)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    one_value = [F.sum(x) == 0 for x in (tp + fn, fp + tn, tp + fp, fn + tn)]
+    macro = counts.agg(
+        F.avg(safe_div(tp, tp + fp)).alias("precision"), F.avg(safe_div(tp, tp + fn)).alias("recall"),
+        F.avg(fbeta_from_counts(tp, fp, fn)).alias("f1"), F.avg(fbeta_from_counts(tp, fp, fn, beta)).alias("fbeta"),
+        (one_value[0] | one_value[1] | one_value[2] | one_value[3]).alias("degenerate"))
     k = F.lit(1)
-    j = (prf.withColumn("_k", k)
-         .join(F.broadcast(auc.withColumn("_k", k)), "_k")
-         .join(F.broadcast(s.withColumn("_k", k)), "_k")
-         .join(F.broadcast(_degenerate(pred).withColumn("_k", k)), "_k"))
+    j = (macro.withColumn("_k", k)
+         .join(F.broadcast(roc_auc_macro(pred).withColumn("_k", k)), "_k")
+         .join(F.broadcast(sample_scores(pred).withColumn("_k", k)), "_k"))
+
+    def guarded(c: str) -> Column:
+        return F.when(F.col("degenerate"), F.lit(0.0)).otherwise(F.col(c))
+
     return j.select(
-        F.when(F.col("degenerate"), F.lit(0.0)).otherwise(F.col("roc_auc")).alias("roc_auc"),
-        F.col("subset_accuracy").alias("accuracy"),
-        "precision", "recall", F.col("f1").alias("f1_score"),
-        F.col("fbeta").alias("fbeta_score"), "binary_accuracy", "any_label_true")
+        guarded("roc_auc").alias("roc_auc"), F.col("subset_accuracy").alias("accuracy"),
+        guarded("precision").alias("precision"), guarded("recall").alias("recall"), guarded("f1").alias("f1_score"),
+        guarded("fbeta").alias("fbeta_score"), "binary_accuracy", "any_label_true")
 
 
 def tune_thresholds(pred: DataFrame) -> DataFrame:
@@ -334,8 +341,8 @@ def decode_labels(pred: DataFrame, thresholds: DataFrame, names: DataFrame,
     (broadcast). A class missing from ``names`` is called ``Unknown-{i}``.
     ``op`` is ``>`` (comparison script), ``>=`` (model decode).
     """
-    j = (pred.join(F.broadcast(thresholds), "cls", "left")
-         .join(F.broadcast(names), "cls", "left"))
+    classes = thresholds.select("cls", "threshold").join(names.select("cls", "name"), "cls", "full_outer")
+    j = pred.join(F.broadcast(classes), "cls", "left")
     t = F.coalesce(F.col("threshold"), F.lit(DEFAULT_THRESHOLD))
     hit = F.col("p") > t if op == ">" else F.col("p") >= t
     nm = F.coalesce(F.col("name"), F.concat(F.lit("Unknown-"), F.col("cls").cast("string")))
