@@ -48,4 +48,4 @@ def test_run(spark, sf, monkeypatch):
 def test_registered():
     queries = __spark_entry__.queries()
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries if k.startswith("op") and k[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in queries
+    assert numbers == list(range(1, 14)) and "pipeline" in queries
