@@ -52,7 +52,7 @@ def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _src(x: DataFrame, cols: list[str], extra: list[Column] | None = None) -> DataFrame:
-    return x.select("graph_id", F.col("node_id").alias("src"), *cols, *(extra or []))
+    return x.select("graph_id", F.col("node_id").alias("src"), *cols, *(extra or [])).hint("merge")
 
 
 def gcn_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
@@ -65,11 +65,11 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
     e = _between(edges)
     deg = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_in"))
     root = F.sqrt(F.coalesce("_in", F.lit(0)) + F.lit(1.0))
-    z = x.join(deg, ["graph_id", "node_id"], "left").withColumn("_r", root)
+    z = x.join(deg.hint("merge"), ["graph_id", "node_id"], "left").withColumn("_r", root)
     z = z.select("graph_id", "node_id", "_r", *[(F.col(c) / F.col("_r")).alias(c) for c in cols])
     near = e.join(_src(z, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
         *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = z.join(near, ["graph_id", "node_id"], "left")
+    j = z.join(near.hint("merge"), ["graph_id", "node_id"], "left")
     return j.select("graph_id", "node_id", *[
         ((F.col(c) + F.coalesce(f"_s{i}", F.lit(0.0))) / F.col("_r")).alias(c) for i, c in enumerate(cols)])
 
@@ -80,7 +80,7 @@ def mean_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame,
     near = _between(edges).join(_src(x, cols), ["graph_id", "src"]).groupBy(
         "graph_id", F.col("dst").alias("node_id")).agg(
         F.count(F.lit(1)).alias("_in"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = x.join(near, ["graph_id", "node_id"], "left")
+    j = x.join(near.hint("merge"), ["graph_id", "node_id"], "left")
     n = F.coalesce("_in", F.lit(0)) + F.lit(1.0)
     return j.select("graph_id", "node_id", *[
         ((F.col(c) + F.coalesce(f"_s{i}", F.lit(0.0))) / n).alias(c) for i, c in enumerate(cols)])
@@ -91,7 +91,7 @@ def sum_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[s
     """GraphConv with scalar weights: w_self * x_v + w_neigh * sum of in-neighbours."""
     agg = edges.select("graph_id", "src", "dst").join(_src(x, cols), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")) \
         .agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = x.join(agg, ["graph_id", "node_id"], "left")
+    j = x.join(agg.hint("merge"), ["graph_id", "node_id"], "left")
     return j.select("graph_id", "node_id", *[
         (F.lit(w_self) * F.col(c) + F.lit(w_neigh) * F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias(c)
         for i, c in enumerate(cols)])
@@ -119,7 +119,7 @@ def gat_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[s
     = attention-weighted sum of x_u. Max-shifted softmax per (graph, dst)."""
     e = with_self_loops(nodes, edges)
     e = (e.join(_src(x, cols, [_dot(cols, a_src).alias("ps")]), ["graph_id", "src"])
-         .join(x.select("graph_id", F.col("node_id").alias("dst"), _dot(cols, a_dst).alias("pd")),
+         .join(x.select("graph_id", F.col("node_id").alias("dst"), _dot(cols, a_dst).alias("pd")).hint("merge"),
                ["graph_id", "dst"]))
     raw = F.col("ps") + F.col("pd")
     e = e.withColumn("s", F.when(raw >= 0, raw).otherwise(raw * slope))
@@ -197,19 +197,19 @@ def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str]
     top = e.join(_src(z, [f"_s{k}" for k in ks]), ["graph_id", "src"]).groupBy(
         "graph_id", F.col("dst").alias("node_id")).agg(*[F.max(f"_s{k}").alias(f"_t{k}") for k in ks])
     shift = [_leaky(F.greatest(f"_s{k}", F.col(f"_t{k}")) + F.col(f"_d{k}"), slope).alias(f"_m{k}") for k in ks]
-    node = materialize(z.join(top, ["graph_id", "node_id"], "left").select(
+    node = materialize(z.join(top.hint("merge"), ["graph_id", "node_id"], "left").select(
         "graph_id", "node_id", *flat, *[f"_s{k}" for k in ks], *[f"_d{k}" for k in ks], *shift))
     ends = node.select("graph_id", F.col("node_id").alias("dst"), *[f"_d{k}" for k in ks], *[f"_m{k}" for k in ks])
 
     def weight(k: int) -> Column:
         return F.exp(_leaky(F.col(f"_s{k}") + F.col(f"_d{k}"), slope) - F.col(f"_m{k}"))
 
-    met = e.join(_src(z, [*flat, *[f"_s{k}" for k in ks]]), ["graph_id", "src"]).join(ends, ["graph_id", "dst"])
+    met = e.join(_src(z, [*flat, *[f"_s{k}" for k in ks]]), ["graph_id", "src"]).join(ends.hint("merge"), ["graph_id", "dst"])
     met = met.select("graph_id", "dst", *flat, *[weight(k).alias(f"_e{k}") for k in ks])
     sums = met.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
         *[F.sum(f"_e{k}").alias(f"_w{k}") for k in ks],
         *[F.sum(F.col(f"_e{k}") * F.col(n)).alias(f"_n{n}") for k in ks for n in zs[k]])
-    j = node.join(sums, ["graph_id", "node_id"], "left")
+    j = node.join(sums.hint("merge"), ["graph_id", "node_id"], "left")
     none = F.lit(0.0)
     outs = [[(weight(k) * F.col(n) + F.coalesce(f"_n{n}", none)) / (weight(k) + F.coalesce(f"_w{k}", none))
              for n in zs[k]] for k in ks]

@@ -63,21 +63,21 @@ def gcn_layers(edges: DataFrame, x: DataFrame, cols: list[str], layers: list[Lay
     counted once; each layer's input is materialised, as it is used twice."""
     e = edges.select("graph_id", "src", "dst").where("src <> dst")
     degree = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_in"))
-    x = x.join(degree, ["graph_id", "node_id"], "left").select(
+    x = x.join(degree.hint("merge"), ["graph_id", "node_id"], "left").select(
         "graph_id", "node_id", *cols, F.sqrt(F.coalesce("_in", F.lit(0)) + F.lit(1.0)).alias("_r"))
     for layer in layers:
         names = [f"f{j}" for j in range(len(layer.bias))]
         z = materialize(x.select("graph_id", "node_id", "_r", *[
             (v / F.col("_r")).alias(n) for v, n in zip(linear(cols, layer.weight), names)]))
         source = z.select("graph_id", F.col("node_id").alias("src"), *names)
-        near = e.join(source, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
+        near = e.join(source.hint("merge"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
             *[F.sum(n).alias(f"_{n}") for n in names])
         out = []
         for j, n in enumerate(names):
             v = (F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / F.col("_r") + F.lit(float(layer.bias[j]))
             v = layer.norm(v, j) if layer.norm else v
             out.append((relu(v) if layer.relu else v).alias(n))
-        x, cols = z.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "_r", *out), names
+        x, cols = z.join(near.hint("merge"), ["graph_id", "node_id"], "left").select("graph_id", "node_id", "_r", *out), names
     return x.drop("_r"), cols
 
 

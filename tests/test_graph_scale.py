@@ -6,6 +6,7 @@ import pytest
 
 from cwescope.operators import graph as G
 from cwescope.plans.catalog import REGISTRY
+from cwescope.sources import views as V
 
 LINES = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
@@ -28,3 +29,29 @@ def test_edge_queries_return_every_edge(spark, lines, key, value):
     assert value in got.columns
     pick = ["graph_id", "src", "dst", "edge_type"]
     assert sorted(got.select(*pick).collect()) == sorted(edges.select(*pick).collect())
+
+
+def test_node_queries_sort_no_nodes(spark, lines):
+    """Trees are built beside their texts: one shuffle of the lines, no stored nodes."""
+    for key in ("tree_nodes", "edge_union", "next_token_edges", "scaled"):
+        plan = REGISTRY[key].spark_df(spark, lines)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Scan ExistingRDD" not in plan, key
+
+
+def test_parts_grow_with_the_lines(spark, lines, monkeypatch):
+    n = spark.read.parquet(f"{lines}/lineitem.parquet").count()
+    assert V.graph_parts(spark, lines) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(V, "LINES_PER_PART", 10)
+    assert V.graph_parts(spark, lines) == -(-n // 10)
+
+
+def test_nodes_are_not_broadcast(spark, lines):
+    plan = REGISTRY["gcn_propagate"].spark_df(spark, lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_next_leaf_equals_the_window(spark):
+    texts = spark.createDataFrame([(1, "a(b{c[d]e}f)g"), (2, "}x{"), (3, ""), (4, None)], "graph_id long, code string")
+    n = G.tree_nodes(texts)
+    for f in (G.edge_union, G.hybrid_edges, G.next_token_edges):
+        assert sorted(f(n).collect()) == sorted(f(n.drop("next_leaf")).collect())
