@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cwescope.session import materialize
+from cwescope.session import kept, materialize
 
 SCALAR_FEATURES = ["f0", "f1", "f2", "f3"]
 
@@ -116,17 +116,26 @@ def gat_propagate(nodes: DataFrame, edges: DataFrame, x: DataFrame, cols: list[s
                   slope: float = GAT_SLOPE) -> DataFrame:
     """One attention head (W = identity): score(u->v) = LeakyReLU(a_dst.x_v +
     a_src.x_u), softmax over the in-edges of v (self loop included), output
-    = attention-weighted sum of x_u. Max-shifted softmax per (graph, dst)."""
-    e = with_self_loops(nodes, edges)
-    e = (e.join(_src(x, cols, [_dot(cols, a_src).alias("ps")]), ["graph_id", "src"])
-         .join(x.select("graph_id", F.col("node_id").alias("dst"), _dot(cols, a_dst).alias("pd")).hint("merge"),
+    = attention-weighted sum of x_u. Max-shifted softmax per (graph, dst). A
+    node's own share is added on the node side (``x`` has a row for each node)."""
+    x = x.where("graph_id IS NOT NULL AND node_id IS NOT NULL")
+    ps, pd = _dot(cols, a_src), _dot(cols, a_dst)
+    own = _leaky(ps + pd, slope)
+    e = (_between(edges).join(_src(x, cols, [ps.alias("ps")]), ["graph_id", "src"])
+         .join(x.select("graph_id", F.col("node_id").alias("dst"), pd.alias("pd"), own.alias("own")).hint("merge"),
                ["graph_id", "dst"]))
-    raw = F.col("ps") + F.col("pd")
-    e = e.withColumn("s", F.when(raw >= 0, raw).otherwise(raw * slope))
-    e = e.withColumn("ex", F.exp(F.col("s") - F.max("s").over(Window.partitionBy("graph_id", "dst"))))
+    e = e.withColumn("s", _leaky(F.col("ps") + F.col("pd"), slope))
+    e = e.withColumn("m", F.greatest("own", F.max("s").over(Window.partitionBy("graph_id", "dst"))))
+    e = e.withColumn("ex", F.exp(F.col("s") - F.col("m")))
     g = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
-        F.sum("ex").alias("_z"), *[F.sum(F.col("ex") * F.col(c)).alias(f"_n{i}") for i, c in enumerate(cols)])
-    return g.select("graph_id", "node_id", *[(F.col(f"_n{i}") / F.col("_z")).alias(c) for i, c in enumerate(cols)])
+        F.max("m").alias("_m"), F.sum("ex").alias("_z"),
+        *[F.sum(F.col("ex") * F.col(c)).alias(f"_n{i}") for i, c in enumerate(cols)])
+    j = x.withColumn("_own", own).join(g.hint("merge"), ["graph_id", "node_id"], "left")
+    j = j.withColumn("_e", F.exp(F.col("_own") - F.coalesce("_m", "_own")))
+    none = F.lit(0.0)
+    return j.select("graph_id", "node_id", *[
+        ((F.col("_e") * F.col(c) + F.coalesce(f"_n{i}", none)) / (F.col("_e") + F.coalesce("_z", none))).alias(c)
+        for i, c in enumerate(cols)])
 
 
 def graph_pool(x: DataFrame) -> DataFrame:
@@ -173,7 +182,8 @@ def _leaky(x: Column, slope: float) -> Column:
 
 
 def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str] = SCALAR_FEATURES,
-              concat: bool = True, activate: bool = False, slope: float = GAT_SLOPE) -> DataFrame:
+              concat: bool = True, activate: bool = False, slope: float = GAT_SLOPE,
+              parts: int | None = None) -> DataFrame:
     """Multi-head attention: per head, z = x W, score(u -> v) =
     LeakyReLU(a_src . z_u + a_dst . z_v), softmax over v's in-edges and itself,
     sum of z_u by weight. The heads' outputs stand side by side (``concat``) or
@@ -183,22 +193,23 @@ def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str]
     score of the largest a_src . z_u: one aggregate of the edges with one number
     per head, instead of a sort of all edges. A second aggregate sums weights
     and weighted outputs of all heads at once. A node's own share is added on
-    the node side. All steps are keyed by graph."""
+    the node side. All steps are keyed by graph. ``parts``: ``x`` and the edges
+    are read from tables in so many buckets by graph; nothing is shuffled then."""
     width = len(heads[0].weight[0])
     zs = [[f"_z{k}_{j}" for j in range(width)] for k in range(len(heads))]
     z = x.select("graph_id", "node_id", *[e.alias(n) for h, names in zip(heads, zs)
                                           for e, n in zip(linear(cols, h.weight), names)])
     flat = [n for names in zs for n in names]
     ks = range(len(heads))
-    z = materialize(z.select(
-        "graph_id", "node_id", *flat, *[_dot(zs[k], heads[k].a_src).alias(f"_s{k}") for k in ks],
-        *[_dot(zs[k], heads[k].a_dst).alias(f"_d{k}") for k in ks]))
+    z = z.select("graph_id", "node_id", *flat, *[_dot(zs[k], heads[k].a_src).alias(f"_s{k}") for k in ks],
+                 *[_dot(zs[k], heads[k].a_dst).alias(f"_d{k}") for k in ks])
+    z = z if parts else materialize(z)
     e = _between(edges)
     top = e.join(_src(z, [f"_s{k}" for k in ks]), ["graph_id", "src"]).groupBy(
         "graph_id", F.col("dst").alias("node_id")).agg(*[F.max(f"_s{k}").alias(f"_t{k}") for k in ks])
     shift = [_leaky(F.greatest(f"_s{k}", F.col(f"_t{k}")) + F.col(f"_d{k}"), slope).alias(f"_m{k}") for k in ks]
-    node = materialize(z.join(top.hint("merge"), ["graph_id", "node_id"], "left").select(
-        "graph_id", "node_id", *flat, *[f"_s{k}" for k in ks], *[f"_d{k}" for k in ks], *shift))
+    node = kept(z.join(top.hint("merge"), ["graph_id", "node_id"], "left").select(
+        "graph_id", "node_id", *flat, *[f"_s{k}" for k in ks], *[f"_d{k}" for k in ks], *shift), "graph_id", parts)
     ends = node.select("graph_id", F.col("node_id").alias("dst"), *[f"_d{k}" for k in ks], *[f"_m{k}" for k in ks])
 
     def weight(k: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cwescope.operators.propagate import linear
-from cwescope.session import materialize
+from cwescope.session import kept
 
 EPSILON = 1e-5
 POOLS = ("mean", "max", "sum", "mean_max")
@@ -57,18 +57,20 @@ def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 
 
-def gcn_layers(edges: DataFrame, x: DataFrame, cols: list[str], layers: list[Layer]) -> tuple[DataFrame, list[str]]:
+def gcn_layers(edges: DataFrame, x: DataFrame, cols: list[str], layers: list[Layer],
+               parts: int | None = None) -> tuple[DataFrame, list[str]]:
     """(graph_id, node_id, columns; their names) behind the layers. Edges are
     distinct; loops are dropped and every node is its own neighbour. Degrees are
-    counted once; each layer's input is materialised, as it is used twice."""
+    counted once; each layer's input is stored, as it is used twice. ``parts``: see
+    ``propagate.gat_heads``."""
     e = edges.select("graph_id", "src", "dst").where("src <> dst")
     degree = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_in"))
     x = x.join(degree.hint("merge"), ["graph_id", "node_id"], "left").select(
         "graph_id", "node_id", *cols, F.sqrt(F.coalesce("_in", F.lit(0)) + F.lit(1.0)).alias("_r"))
     for layer in layers:
         names = [f"f{j}" for j in range(len(layer.bias))]
-        z = materialize(x.select("graph_id", "node_id", "_r", *[
-            (v / F.col("_r")).alias(n) for v, n in zip(linear(cols, layer.weight), names)]))
+        z = kept(x.select("graph_id", "node_id", "_r", *[
+            (v / F.col("_r")).alias(n) for v, n in zip(linear(cols, layer.weight), names)]), "graph_id", parts)
         source = z.select("graph_id", F.col("node_id").alias("src"), *names)
         near = e.join(source.hint("merge"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
             *[F.sum(n).alias(f"_{n}") for n in names])
@@ -103,11 +105,12 @@ def class_scores(graphs: DataFrame, cols: list[str], head: Dense) -> DataFrame:
 
 
 def graph_scores(edges: DataFrame, x: DataFrame, cols: list[str], layers: list[Layer], head: Dense,
-                 truth: DataFrame, pool: str = "mean", thresholds: list[float] | None = None) -> DataFrame:
+                 truth: DataFrame, pool: str = "mean", thresholds: list[float] | None = None,
+                 parts: int | None = None) -> DataFrame:
     """sample_id, cls, y, p, yhat: the true label (``truth``: sample_id, cls of
     the positive ones), probability and label (p >= the class's threshold, 0.5
     by default) of each graph and class: the layout of every metric operator."""
-    nodes, names = gcn_layers(edges, x, cols, layers)
+    nodes, names = gcn_layers(edges, x, cols, layers, parts)
     scores = class_scores(*pooled(nodes, names, pool), head)
     positive = truth.select("sample_id", F.col("cls").cast("bigint").alias("cls")).distinct().withColumn("y", F.lit(1))
     limit = F.lit(0.5)

@@ -6,6 +6,7 @@ import pytest
 
 from cwescope.operators import graph as G
 from cwescope.plans.catalog import REGISTRY
+from cwescope.session import bucketed
 from cwescope.sources import views as V
 
 LINES = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -55,3 +56,40 @@ def test_next_leaf_equals_the_window(spark):
     n = G.tree_nodes(texts)
     for f in (G.edge_union, G.hybrid_edges, G.next_token_edges):
         assert sorted(f(n).collect()) == sorted(f(n.drop("next_leaf")).collect())
+
+
+BUCKETED = ("gcn_propagate", "mean_propagate", "sum_propagate", "gat_propagate", "gat_propagate_heads", "gat_propagate_mean",
+            "edge_features", "edge_endpoints", "hybrid_edges", "graph_stats", "graph_global", "graph_pool",
+            "graph_node_types", "node_features")
+
+
+@pytest.mark.parametrize("key", BUCKETED)
+def test_node_joins_shuffle_nothing(spark, lines, key):
+    """Nodes are stored once in buckets: joins, windows and groups stay in them."""
+    plan = REGISTRY[key].spark_df(spark, lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Scan ExistingRDD" not in plan
+
+
+def test_bucketed_leaves_no_table_and_keeps_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "b"), (1, "a")], "graph_id long, x string")
+    kept = bucketed(rows, "graph_id", 3)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_asked_fields_are_the_same(spark):
+    texts = spark.createDataFrame([(1, "a(b{c[d]e}f)g"), (2, "}x{"), (3, ""), (4, None)], "graph_id long, code string")
+    for fields in (["next_leaf", "node_id"], ["node_type"], ["text", "is_named"]):
+        got = G.tree_nodes(texts, group_text=True, fields=fields)
+        assert got.columns[:1 + len(fields)] == ["graph_id", *fields]
+        assert sorted(map(str, got.collect())) == sorted(map(str, G.tree_nodes(texts, group_text=True).select(*got.columns).collect()))
+
+
+def test_labels_stay_in_parts_that_grow(spark, lines, monkeypatch):
+    """One deal of the lines by sample; distinct and groups shuffle nothing more."""
+    monkeypatch.setattr(V, "LABEL_LINES_PER_PART", 10)
+    n = spark.read.parquet(f"{lines}/lineitem.parquet").count()
+    d = V.tool_labels(spark, lines).groupBy("sample_id", "cwe").count()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(l_orderkey" in plan
+    assert f", {max(-(-n // 10), int(spark.conf.get('spark.sql.shuffle.partitions')))})" in plan
