@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 
 from cwescope.operators import graph as G
+from cwescope.operators import parse as PA
+from cwescope.operators import tree as T
 from cwescope.plans.catalog import REGISTRY
 from cwescope.session import bucketed
 from cwescope.sources import views as V
@@ -93,3 +95,64 @@ def test_labels_stay_in_parts_that_grow(spark, lines, monkeypatch):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(l_orderkey" in plan
     assert f", {max(-(-n // 10), int(spark.conf.get('spark.sql.shuffle.partitions')))})" in plan
+
+
+def _shuffled(df):
+    """Names of the columns that the first deal of the lines sends."""
+    def walk(p):
+        if p.nodeName() == "Exchange":
+            yield [p.output().apply(i).name() for i in range(p.output().size())]
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+    return list(walk(df._jdf.queryExecution().sparkPlan()))
+
+
+def test_lines_are_dealt_narrow(spark, lines):
+    """What the order of the lines shows in the code, and nothing else."""
+    assert _shuffled(V.code_lines(spark, lines, 4)) == [["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]]
+    assert _shuffled(V.tool_labels(spark, lines)) == [["l_orderkey", "c", "said"]]
+
+
+def test_lines_that_tie_are_alike(spark, tmp_path):
+    """Equal in number, part and supplier: whatever the rest says, the code is the same."""
+    day = dt.datetime(2020, 1, 1)
+    rows = [(1, p, s, k, float(q), 9.0 - q, None, 0.04, "R", "O", day) for k, p, s, q in
+            [(1, 3, 1, 5), (1, 3, 1, 2), (2, 0, 1, 1), (1, 0, 2, 7), (None, 7, 0, 1), (1, None, 1, 1)]]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r.code for r in V.code_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got[0] == "v0 = gets(buf);" and got[2:] == ["char *v0 = malloc(16);", "free(v1);", "free(v1);",
+                                                       "char *v1 = malloc(16);"]
+
+
+def test_labels_of_negative_and_missing_parts(spark, tmp_path):
+    day = dt.datetime(2020, 1, 1)
+    rows = [(1, p, 0, 1, 50.0, 1.0, 0.05, 0.04, "R", "O", day) for p in (-7, 40, None)]
+    rows.append((2, 1, 0, 1, 1.0, 1.0, None, None, None, None, day))
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(1, t, c) for t in ("truth", "tool_a", "tool_c", "model") for c in ("CWE--7", "CWE-4", None)}
+    want |= {(1, "tool_b", c) for c in ("CWE--7", "CWE-4", None)}
+    got = [tuple(r) for r in V.tool_labels(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_unasked_places_are_not_computed(monkeypatch):
+    import pyarrow as pa
+
+    texts, calls, before = pa.array(["a(b{c\n[d]e}f)g", "}x{", "", None]), [], T._before
+    monkeypatch.setattr(T, "_before", lambda *a: calls.append(1) or before(*a))
+    whole = T._tree(texts, True)
+    assert len(calls) == 2  # columns of the pieces, and levels
+    for names in (["node_id", "node_type"], ["parent", "next_leaf"]):
+        calls.clear()
+        part = T._tree(texts, False, names)
+        assert len(calls) == 1 and part.offsets.equals(whole.offsets)
+        assert all(part.values.field(n).equals(whole.values.field(n)) for n in names)
+
+
+def test_parsers_send_the_asked_fields(spark):
+    texts = spark.createDataFrame([(1, "a(b{c\n[d]e}f)g"), (2, "}x{"), (3, ""), (4, None)], "graph_id long, code string")
+    whole = PA.parse_nodes(texts, PA.bracket_parser)
+    for fields in (PA.CHECKED, ["text", "depth"]):
+        got = PA.parse_nodes(texts, PA.bracket_parser, fields=fields)
+        assert got.columns == ["graph_id", *fields]
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect()))
