@@ -64,6 +64,8 @@ KEEP = 0.995
 PASSAGE = 50
 SAFE = 0.995
 CELLS = 4096
+#: Documents whose n-grams a task holds at a time.
+PART_ROWS = 500
 
 #: Documents that are counted: all, target, toxic.
 MODELS = ("raw", "target", "toxic")
@@ -123,7 +125,7 @@ def counted_ngrams(doc: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[n
     return (key >> np.uint64(BUCKET_BITS)).astype(np.int64), bucket.astype(np.int64)
 
 
-def _parts(batches, rows: int = 2000):
+def _parts(batches, rows: int = PART_ROWS):
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)

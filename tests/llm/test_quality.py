@@ -128,3 +128,11 @@ def test_empty_tables_and_columns(spark, sf):
     assert ql.quality_report(docs, labels.limit(0)).count() == docs.count()
     odd = docs.withColumn("row", F.lit(1)).withColumn("wanted", F.lit("x")).limit(40)
     assert ql.select(odd, labels).columns == odd.columns
+
+
+def test_a_task_holds_few_documents_at_a_time():
+    """Memory of a Python worker follows the rows whose n-grams it holds."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"] * 3001)], names=["text"])
+    assert [b.num_rows for b in ql._parts([batch])] == [500] * 6 + [1]
