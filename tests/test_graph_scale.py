@@ -156,3 +156,18 @@ def test_parsers_send_the_asked_fields(spark):
         got = PA.parse_nodes(texts, PA.bracket_parser, fields=fields)
         assert got.columns == ["graph_id", *fields]
         assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect()))
+
+
+def test_corpus_job_deals_no_node_vectors(spark, lines, monkeypatch):
+    """The split is joined to nodes before they get vectors, and to whole graphs after."""
+    from cwescope.plans import q_more
+
+    plans, write = [], q_more.IO.write_partitioned
+    monkeypatch.setattr(q_more.IO, "write_partitioned", lambda df, *a: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    got = {r["split"]: (r["graphs"], r["nodes"]) for r in REGISTRY["etl_corpus"].spark_df(spark, lines).collect()}
+    n = REGISTRY["tree_nodes"].spark_df(spark, lines).where("graph_id IS NOT NULL")
+    assert (sum(g for g, _ in got.values()), sum(k for _, k in got.values())) == (
+        n.select("graph_id").distinct().count(), n.count())
+    above, below = plans[0].split("Aggregate [graph_id", 1)
+    assert above.count("Join Inner") == 2 and below.split("bucketed_")[0].count("Join Inner") <= 2
