@@ -5,8 +5,9 @@ a tool reports for a sample, truth included) and the sample universe
 ``samples(sample_id)``. Samples without any label still count (safe and
 predicted safe), so the universe size enters every ratio.
 
-Plan shape: labels are semi-joined with the universe (broadcast or
-shuffle, chosen by Catalyst from the size); the (sample, cwe) presence
+Plan shape: labels are semi-joined with the universe part by part (it grows
+with the input, and is larger than its compressed file lets expect: never
+broadcast); the (sample, cwe) presence
 aggregate subsumes a distinct of the input (max is duplicate-insensitive,
 so Catalyst drops a distinct below it); per-sample and per-class results
 aggregate map-side first, and the per-tool / per-class outputs are bounded
@@ -30,7 +31,7 @@ def _one(df: DataFrame) -> DataFrame:
 
 def restrict(labels: DataFrame, samples: DataFrame) -> DataFrame:
     """Labels of samples in the universe (findings for unknown ids are dropped)."""
-    return labels.join(samples.select("sample_id"), "sample_id", "left_semi")
+    return labels.join(samples.select("sample_id").hint("shuffle_hash"), "sample_id", "left_semi")
 
 
 def presence(labels: DataFrame, tools=TOOLS, truth: str = TRUTH) -> DataFrame:

@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cwescope.operators import graph as G
+from cwescope.operators import labelsets as L
 from cwescope.operators import parse as PA
 from cwescope.operators import tree as T
 from cwescope.plans.catalog import REGISTRY
@@ -41,6 +43,26 @@ def test_node_queries_sort_no_nodes(spark, lines):
         assert plan.count("Exchange") == 1 and "Scan ExistingRDD" not in plan, key
 
 
+def test_hybrid_edges_are_made_beside_the_texts(spark, lines):
+    """No nodes stored, sorted or grouped by edge; the same edges as the general form."""
+    got = REGISTRY["hybrid_edges"].spark_df(spark, lines)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Aggregate", "Window", "next_leaf:")) and "code:string" in plan
+    nodes = REGISTRY["tree_nodes"].spark_df(spark, lines)
+    assert "next_leaf" not in nodes.columns
+    edges = G.hybrid_edges(nodes).select(got.columns).where("graph_id IS NOT NULL").collect()
+    assert edges and sorted(got.where("graph_id IS NOT NULL").collect()) == sorted(edges)
+
+
+def test_samples_are_never_broadcast(spark, lines):
+    """Their table grows with the input, whatever its file's size lets expect."""
+    labels = V.tool_labels(spark, lines)
+    samples = spark.read.parquet(f"{lines}/lineitem.parquet").select(F.col("l_orderkey").alias("sample_id"))
+    df = L.restrict(labels, samples)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(df.collect()) == sorted(labels.where("sample_id IS NOT NULL").collect())
+
+
 def test_parts_grow_with_the_lines(spark, lines, monkeypatch):
     n = spark.read.parquet(f"{lines}/lineitem.parquet").count()
     assert V.graph_parts(spark, lines) == int(spark.conf.get("spark.sql.shuffle.partitions"))
