@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cwescope.session import kept, materialize
+from cwescope.session import materialize
 
 SCALAR_FEATURES = ["f0", "f1", "f2", "f3"]
 
@@ -190,11 +190,11 @@ def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str]
     are averaged; ``activate`` applies ELU. Output columns f0, f1, ...
 
     Softmax is shifted by the largest score. LeakyReLU rises, so that is the
-    score of the largest a_src . z_u: one aggregate of the edges with one number
-    per head, instead of a sort of all edges. A second aggregate sums weights
-    and weighted outputs of all heads at once. A node's own share is added on
-    the node side. All steps are keyed by graph. ``parts``: ``x`` and the edges
-    are read from tables in so many buckets by graph; nothing is shuffled then."""
+    score of the largest a_src . z_u: a window over the edges, which the join with
+    v has sorted already. One aggregate sums weights and weighted outputs of all
+    heads at once. A node's own share is added on the node side. All steps are keyed
+    by graph. ``parts``: ``x`` and the edges are read from tables in so many buckets
+    by graph; nothing is shuffled or stored then."""
     width = len(heads[0].weight[0])
     zs = [[f"_z{k}_{j}" for j in range(width)] for k in range(len(heads))]
     z = x.select("graph_id", "node_id", *[e.alias(n) for h, names in zip(heads, zs)
@@ -205,22 +205,24 @@ def gat_heads(edges: DataFrame, x: DataFrame, heads: list[Head], cols: list[str]
                  *[_dot(zs[k], heads[k].a_dst).alias(f"_d{k}") for k in ks])
     z = z if parts else materialize(z)
     e = _between(edges)
-    top = e.join(_src(z, [f"_s{k}" for k in ks]), ["graph_id", "src"]).groupBy(
-        "graph_id", F.col("dst").alias("node_id")).agg(*[F.max(f"_s{k}").alias(f"_t{k}") for k in ks])
-    shift = [_leaky(F.greatest(f"_s{k}", F.col(f"_t{k}")) + F.col(f"_d{k}"), slope).alias(f"_m{k}") for k in ks]
-    node = kept(z.join(top.hint("merge"), ["graph_id", "node_id"], "left").select(
-        "graph_id", "node_id", *flat, *[f"_s{k}" for k in ks], *[f"_d{k}" for k in ks], *shift), "graph_id", parts)
-    ends = node.select("graph_id", F.col("node_id").alias("dst"), *[f"_d{k}" for k in ks], *[f"_m{k}" for k in ks])
+    ends = z.select("graph_id", F.col("node_id").alias("dst"), *[F.col(f"_s{k}").alias(f"_o{k}") for k in ks],
+                    *[f"_d{k}" for k in ks])
+
+    def shift(own: str, k: int) -> Column:
+        return _leaky(F.greatest(f"{own}{k}", f"_t{k}") + F.col(f"_d{k}"), slope)
 
     def weight(k: int) -> Column:
         return F.exp(_leaky(F.col(f"_s{k}") + F.col(f"_d{k}"), slope) - F.col(f"_m{k}"))
 
+    into = Window.partitionBy("graph_id", "dst")
     met = e.join(_src(z, [*flat, *[f"_s{k}" for k in ks]]), ["graph_id", "src"]).join(ends.hint("merge"), ["graph_id", "dst"])
-    met = met.select("graph_id", "dst", *flat, *[weight(k).alias(f"_e{k}") for k in ks])
+    met = met.select("*", *[F.max(f"_s{k}").over(into).alias(f"_t{k}") for k in ks])
+    met = met.select("*", *[shift("_o", k).alias(f"_m{k}") for k in ks])
+    met = met.select("graph_id", "dst", *flat, *[f"_t{k}" for k in ks], *[weight(k).alias(f"_e{k}") for k in ks])
     sums = met.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
-        *[F.sum(f"_e{k}").alias(f"_w{k}") for k in ks],
+        *[F.max(f"_t{k}").alias(f"_t{k}") for k in ks], *[F.sum(f"_e{k}").alias(f"_w{k}") for k in ks],
         *[F.sum(F.col(f"_e{k}") * F.col(n)).alias(f"_n{n}") for k in ks for n in zs[k]])
-    j = node.join(sums.hint("merge"), ["graph_id", "node_id"], "left")
+    j = z.join(sums.hint("merge"), ["graph_id", "node_id"], "left").select("*", *[shift("_s", k).alias(f"_m{k}") for k in ks])
     none = F.lit(0.0)
     outs = [[(weight(k) * F.col(n) + F.coalesce(f"_n{n}", none)) / (weight(k) + F.coalesce(f"_w{k}", none))
              for n in zs[k]] for k in ks]
