@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cwescope.operators.propagate import linear
-from cwescope.session import kept
 
 EPSILON = 1e-5
 POOLS = ("mean", "max", "sum", "mean_max")
@@ -60,26 +59,32 @@ def relu(x: Column) -> Column:
 def gcn_layers(edges: DataFrame, x: DataFrame, cols: list[str], layers: list[Layer],
                parts: int | None = None) -> tuple[DataFrame, list[str]]:
     """(graph_id, node_id, columns; their names) behind the layers. Edges are
-    distinct; loops are dropped and every node is its own neighbour. Degrees are
-    counted once; each layer's input is stored, as it is used twice. ``parts``: see
-    ``propagate.gat_heads``."""
+    distinct; loops are dropped and every node (one row of ``x``) is its own
+    neighbour. Degrees are counted once. Each node meets itself as one more edge,
+    so a layer's input is used once and is not stored. Edges and ``x`` that are
+    read from tables in ``parts`` buckets by graph are not shuffled either."""
     e = edges.select("graph_id", "src", "dst").where("src <> dst")
     degree = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_in"))
     x = x.join(degree.hint("merge"), ["graph_id", "node_id"], "left").select(
         "graph_id", "node_id", *cols, F.sqrt(F.coalesce("_in", F.lit(0)) + F.lit(1.0)).alias("_r"))
+    # the join has sorted by node: its first row also goes to the node itself, with its degree
+    nth = F.row_number().over(Window.partitionBy("graph_id", "src").orderBy("src"))
+    ahead = F.struct(F.col("dst").alias("node_id"), F.lit(None).cast("double").alias("_r"))
+    to = F.when(F.col("_n") == 1, F.array(F.struct(F.col("src").alias("node_id"), "_r"), ahead)).otherwise(F.array(ahead))
     for layer in layers:
         names = [f"f{j}" for j in range(len(layer.bias))]
-        z = kept(x.select("graph_id", "node_id", "_r", *[
-            (v / F.col("_r")).alias(n) for v, n in zip(linear(cols, layer.weight), names)]), "graph_id", parts)
-        source = z.select("graph_id", F.col("node_id").alias("src"), *names)
-        near = e.join(source.hint("merge"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(
-            *[F.sum(n).alias(f"_{n}") for n in names])
+        z = x.select("graph_id", F.col("node_id").alias("src"), "_r", *[
+            (v / F.col("_r")).alias(n) for v, n in zip(linear(cols, layer.weight), names)])
+        met = z.join(e.hint("merge"), ["graph_id", "src"], "left").withColumn("_n", nth)
+        met = met.select("graph_id", *names, F.explode(to).alias("_t")).where("_t.node_id IS NOT NULL OR _t._r IS NOT NULL")
+        sums = met.groupBy("graph_id", F.col("_t.node_id").alias("node_id")).agg(
+            F.max("_t._r").alias("_r"), *[F.sum(n).alias(n) for n in names]).where("_r IS NOT NULL")
         out = []
         for j, n in enumerate(names):
-            v = (F.col(n) + F.coalesce(f"_{n}", F.lit(0.0))) / F.col("_r") + F.lit(float(layer.bias[j]))
+            v = F.col(n) / F.col("_r") + F.lit(float(layer.bias[j]))
             v = layer.norm(v, j) if layer.norm else v
             out.append((relu(v) if layer.relu else v).alias(n))
-        x, cols = z.join(near.hint("merge"), ["graph_id", "node_id"], "left").select("graph_id", "node_id", "_r", *out), names
+        x, cols = sums.select("graph_id", "node_id", "_r", *out), names
     return x.drop("_r"), cols
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from cwescope.operators import propagate as P
 from cwescope.operators import score as SC
+from cwescope.session import bucketed
 
 COLS = ["f0", "f1", "f2"]
 
@@ -98,3 +99,27 @@ def test_wrong_width_is_refused(spark):
         SC.gcn_layers(e, x, COLS, [SC.Layer([[1.0], [1.0]], [0.0])])
     with pytest.raises(ValueError, match="pooling"):
         SC.pooled(x, COLS, "median")
+
+
+def test_layers_store_and_shuffle_nothing_of_buckets(spark):
+    """Tables in buckets by graph: no layer's input is written, nothing is dealt again."""
+    *_, x, e = sample(spark)
+    x, e = (bucketed(t, "graph_id", 3) for t in (x, e))
+    layers = [SC.Layer(np.eye(3).tolist(), [0.0] * 3) for _ in range(3)]
+    heads = [P.Head(np.eye(3).tolist(), [1.0] * 3, [0.5] * 3)]
+    for df in (SC.gcn_layers(e, x, COLS, layers, 3)[0], P.gat_heads(e, x, heads, COLS, parts=3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        assert len(names) == 2, names
+
+
+def test_nodes_without_a_key_keep_to_themselves(spark):
+    x = spark.createDataFrame([(None, 0, 2.0), (None, 1, 3.0), (1, 0, 4.0), (1, 1, 6.0)],
+                              "graph_id long, node_id long, f0 double")
+    e = spark.createDataFrame([(None, 0, 1), (1, 0, 1), (1, 5, 0), (1, 0, 7)], "graph_id long, src long, dst long")
+    got = SC.gcn_layers(e, x, ["f0"], [SC.Layer([[1.0]], [0.5], relu=False)])[0]
+    want = [(None, 0, 2.5), (None, 1, 3.5), (1, 0, 4 / 2 + 0.5), (1, 1, (4 / 2 ** 0.5 + 6 / 2 ** 0.5) / 2 ** 0.5 + 0.5)]
+    rows = sorted(map(tuple, got.collect()), key=lambda r: (r[0] or 0, r[1]))
+    assert [r[:2] for r in rows] == [w[:2] for w in want]
+    assert np.allclose([r[2] for r in rows], [w[2] for w in want])
