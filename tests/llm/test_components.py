@@ -137,3 +137,16 @@ def test_kept_rows_with_clashing_names(spark):
     got = nc.keep_one(df)
     assert got.columns == df.columns and sorted((r[0], r[2], r[4]) for r in got.collect()) == [
         (1, 5, "x"), (3, 7, "z"), (4, 8, "z")]
+
+
+def test_a_group_of_pairs_takes_a_link_a_member(spark):
+    """All pairs of 60 nodes, each a bucket of its own: similar ones take about a
+    check a member; of unequal ones each pair is verified."""
+    pairs = [(a * 100 + b, n) for a in range(60) for b in range(a + 1, 60) for n in (a, b)]
+    members = spark.createDataFrame(pairs, "bucket long, node long")
+    verify, asked = counted(F.lit(True))
+    assert roots_of(linked(members, verify, rationed=True)) == dict.fromkeys(range(60), 0)
+    assert sum(asked) < 3 * 60
+    verify, asked = counted((F.col("a") == 17) & (F.col("b") == 43))
+    assert roots_of(linked(members, verify, rationed=True)) == {17: 17, 43: 17}
+    assert sum(asked) == 60 * 59 / 2
