@@ -1,6 +1,9 @@
 """Model selection, AUC buckets, threshold buckets, graph rows."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +142,29 @@ def test_features_without_room_for_an_offset(spark):
     assert set(words) == {"free", "strcpy"}
     for v in words.values():  # the one-hot number stays where no flag is set
         assert v[6] == 1.0 and v[3] == 1.0
+
+
+def test_digest_of_a_matrix(spark):
+    """Half away from zero, place by place, in chunks; null where a number is missing."""
+    ms = [[[0.5, -2.5, 0.0], [1e-7, 0.4999999, 123.4565]], [], None, [[1.0], None], [[None, 2.0]], [[], [7.0] * 5],
+          [[0.0]], *([[float(i), -i / 8] for i in range(k)] for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(ms)), "id int, m array<array<double>>")
+
+    def want(m, scale):
+        if m is None or any(v is None or None in v for v in m):
+            return None
+        return sum(int(math.copysign(math.floor(abs(a * scale) + 0.5), a)) * ((i * 31 + j * 17) % 997 + 1)
+                   for i, v in enumerate(m) for j, a in enumerate(v))
+
+    for scale in (1, 1_000_000):
+        got = df.repartition(1).select("id", AS.matrix_digest("m", scale).alias("d"))
+        assert {r["id"]: r["d"] for r in got.collect()} == {i: want(m, scale) for i, m in enumerate(ms)}
+
+
+def test_digest_chunks(monkeypatch):
+    rows = pa.array([[[float(i + j + k) for k in range(j % 3)] for j in range(i)] for i in range(20)], pa.list_(pa.list_(pa.float64())))
+    whole = AS._digests(rows, 1)
+    monkeypatch.setattr(AS, "CHUNK", 7)
+    assert AS._digests(rows, 1).equals(whole) and AS._digests(rows.slice(5, 9), 1).equals(whole.slice(5, 9))
+    with pytest.raises(OverflowError):
+        AS._digests(pa.array([[[float("nan")]]], pa.list_(pa.list_(pa.float64()))), 1)
