@@ -193,3 +193,30 @@ def test_corpus_job_deals_no_node_vectors(spark, lines, monkeypatch):
         n.select("graph_id").distinct().count(), n.count())
     above, below = plans[0].split("Aggregate [graph_id", 1)
     assert above.count("Join Inner") == 2 and below.split("bucketed_")[0].count("Join Inner") <= 2
+
+
+def test_edges_know_their_places(spark):
+    """Edges of nodes with far places get their features without a join, and the same ones."""
+    texts = spark.createDataFrame([(1, "a(b{c\n[d]e}f)g"), (2, "}x{"), (3, ""), (4, None), (5, "é(ü)")], "graph_id long, code string")
+    fields = ["node_id", "parent", "is_leaf", "next_leaf", "start_byte", "end_byte"]
+    near, far = G.tree_nodes(texts, fields=fields), G.tree_nodes(texts, fields=fields + T.FAR)
+    assert set(G.tree_nodes(texts).columns).isdisjoint(T.FAR)
+    got = G.edge_features(far, G.edge_union(far))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = G.edge_features(near, G.edge_union(near)).collect()
+    assert want and sorted(got.collect()) == sorted(want)
+
+
+def test_the_sink_keeps_whole_graphs(spark, lines):
+    """Node vectors, edges with features, labels and metadata of every graph, not node types alone."""
+    rows = REGISTRY["sink_graphs"].spark_df(spark, lines).collect()
+    of = {item: [r for r in rows if r["item"] == item] for item in ("node", "edge", "graph")}
+    assert sum(map(len, of.values())) == len(rows)
+    x = REGISTRY["node_features"].spark_df(spark, lines).collect()
+    e = REGISTRY["edge_features"].spark_df(spark, lines).collect()
+    assert sorted((r["graph_id"], r["node_id"], r["x"]) for r in of["node"]) == sorted(map(tuple, x))
+    assert sorted((r["graph_id"], r["src"], r["dst"], r["edge_type"], r["ef"]) for r in of["edge"]) == sorted(map(tuple, e))
+    assert all(r["node_type"] for r in of["node"]) and {r["split"] for r in rows} == {"train", "val", "test"}
+    ids = sorted(r["graph_id"] for r in of["graph"])
+    assert ids == sorted({r["graph_id"] for r in of["node"]})
+    assert all(len(r["y"]) == 9 and r["project"] and r["commit_id"] for r in of["graph"]) and any(any(r["y"]) for r in of["graph"])
