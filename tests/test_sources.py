@@ -81,3 +81,24 @@ def test_lookup_pretty_object(spark):
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(root)
     assert [(r["hash"], r["cwes"], r["project"]) for r in IO.read_lookup(spark, root).collect()] == [
         ("1", ["CWE-1"], "p")]
+
+
+def test_code_files_in_archives(spark, tmp_path, monkeypatch):
+    """Packed files read like files on their own, take no block each, and keep one file of a name."""
+    texts = {f"p_{i:07d}_{i}.c": f"int x{i};\r\n\u00fc\n" * (i % 4) for i in range(300)}
+    rows = spark.createDataFrame([*texts.items(), ("p_x_n.c", None), ("p_x_n.c", None), ("notes.txt", "no code")],
+                                 "file_name string, code string")
+    IO.write_code_files(rows, f"{tmp_path}/plain", real_files=True)
+    IO.write_code_files(rows, f"{tmp_path}/packed", real_files=True, packed=True)
+    IO.write_code_files(rows.limit(0), f"{tmp_path}/none", real_files=True, packed=True)
+    want = IO.read_code_files(spark, f"{tmp_path}/plain").collect()
+    got = IO.read_code_files(spark, f"{tmp_path}/packed", packed=True)
+    assert len(want) == 225 and sorted(got.collect()) == sorted(want)
+    assert got.dtypes == IO.read_code_files(spark, f"{tmp_path}/plain").dtypes
+    assert IO.read_code_files(spark, f"{tmp_path}/none", packed=True).count() == 0
+    files = list((tmp_path / "packed").iterdir())
+    assert files and all(f.suffix == ".zip" for f in files) and len(files) <= 8
+    monkeypatch.setattr(IO, "ARCHIVE_BYTES", 64)
+    IO.write_code_files(rows, f"{tmp_path}/small", real_files=True, packed=True)
+    assert len(list((tmp_path / "small").iterdir())) > 50
+    assert sorted(IO.read_code_files(spark, f"{tmp_path}/small", packed=True).collect()) == sorted(want)
